@@ -6,4 +6,40 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-ORACLE_SQL = {"op8_exact_dedup": OP8}
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (
+  SELECT d.doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+lines AS (
+  SELECT doc_id, host, pos, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+near AS (
+  SELECT *, coalesce(lead(line) OVER w, lag(line) OVER w, '') AS context FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+held AS (
+  SELECT doc_id, host, line, arg_min(context, pos) AS context, count(*) * (length(any_value(line)) - length(replace(any_value(line), ' ', '')) + 1) AS words
+  FROM near GROUP BY 1, 2, 3),
+frequent AS (
+  SELECT host, line FROM held JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY 1) USING (host)
+  GROUP BY host, line, host_docs HAVING count(*) > 4 AND count(*) > 0.01 * host_docs AND 2 * count(DISTINCT context) >= count(*)),
+gone AS (SELECT doc_id, sum(words) AS n FROM held JOIN frequent USING (host, line) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(gone.n, 0) <= 0.5 * n_words AS kept
+FROM base LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL = {"op8_exact_dedup": OP8, "op10_quality_rules": OP10}
