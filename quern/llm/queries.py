@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .exact_dedup import op8_exact_dedup
+from .jaccard import op5_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
 from .sql import ORACLE_SQL
 from .stringkernel import op3_language_id
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_language_id, op8_exact_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_language_id, op5_ngram_jaccard_join, op8_exact_dedup, op10_quality_rules)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
