@@ -9,10 +9,11 @@ from .jaccard import op5_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .ppm import op6_lm_scoring
 from .quality import op10_quality_rules
+from .sentencepiece_trie import op4_sentencepiece
 from .sharding import op2_sharding
 from .sql import ORACLE_SQL
 from .stringkernel import op3_language_id
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_language_id, op5_ngram_jaccard_join, op6_lm_scoring, op8_exact_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_language_id, op4_sentencepiece, op5_ngram_jaccard_join, op6_lm_scoring, op8_exact_dedup, op10_quality_rules)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
