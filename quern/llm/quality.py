@@ -121,7 +121,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", host: str = "source", t
     """
     plain = df.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     gone = removals(plain, frequent_lines(plain, "doc_id", "host", "text", min_docs, share), "doc_id", "host", "text").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "removed_words", "removed_lines")
-    counted = base_counts(plain.withColumn("row_key", _row_key("doc_id", "host", "text"))).drop("text")
+    # Written, since a caller's filter on the counts would else be pushed into their expressions and evaluate these anew for each word.
+    counted = materialise(base_counts(plain.withColumn("row_key", _row_key("doc_id", "host", "text"))).drop("text"), "base-counts")
     both = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left").drop("__id", "__key")
     lost = F.coalesce("removed_words", F.lit(0))
     return both.withColumn("removed_words", lost).withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words")))
