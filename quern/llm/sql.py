@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from .licenses import ANCHORS, LEAST, TEMPLATES, TERM
+
 OP8 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -42,4 +44,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL = {"op8_exact_dedup": OP8, "op10_quality_rules": OP10}
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+
+OP9 = rf"""
+WITH f AS (
+  SELECT doc_id, text, CASE
+    WHEN doc_id % 10000 = 0 THEN coalesce(source, 'unknown') || '/LICENSE'
+    WHEN doc_id % 1000 = 0 THEN coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/LICENSE'
+    WHEN doc_id % 100 = 0 THEN coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/' || doc_id // 100 % 10 || '/LICENSE'
+    ELSE coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/' || doc_id // 100 % 10 || '/f' || doc_id END AS path
+  FROM documents),
+t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(template, name, body)),
+tt AS (SELECT template, name, term, count(*) AS n FROM (SELECT template, name, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY 1),
+tw AS (SELECT template, name, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
+low AS (SELECT doc_id, path, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM f),
+b AS (
+  SELECT doc_id, row_number() OVER () AS block, body FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS body FROM low
+    UNION ALL SELECT doc_id, text FROM low WHERE path LIKE '%/LICENSE')
+  WHERE regexp_matches(body, '{ANCHORS}')),
+x AS (
+  SELECT doc_id, block, term, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM t)) + 1) AS x
+  FROM (SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(regexp_extract_all(body, '{TERM}')) AS term FROM b) GROUP BY ALL)
+  LEFT JOIN idf USING (term)),
+norm AS (SELECT block, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
+s AS (
+  SELECT doc_id, name, max(score) AS score FROM (
+    SELECT doc_id, block, template, name, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tw USING (term) JOIN norm USING (block) GROUP BY ALL)
+  GROUP BY ALL HAVING max(score) >= {LEAST}),
+own AS (SELECT doc_id, min(name) AS own_license, max(score) AS own_score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM s) WHERE score = top GROUP BY 1),
+dirs AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, own_score FROM f LEFT JOIN own USING (doc_id)),
+granted AS (SELECT dir, arg_min(own_license, row(-own_score, path)) AS license FROM dirs WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE' GROUP BY 1),
+near AS (
+  SELECT d.dir, arg_max(row(g.license, g.dir), length(g.dir)) AS g
+  FROM (SELECT DISTINCT dir FROM dirs) d JOIN granted g ON d.dir = g.dir OR starts_with(d.dir, g.dir || '/') GROUP BY 1)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, g[1]) AS license, CASE WHEN own_license IS NULL THEN g[2] END AS license_from
+FROM dirs LEFT JOIN near USING (dir)
+"""
+
+ORACLE_SQL = {"op9_license_scans": OP9, "op8_exact_dedup": OP8, "op10_quality_rules": OP10}
