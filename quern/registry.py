@@ -2,7 +2,32 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir) under ``name``."""
+
+    def add(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+for _module in ("classifiers", "graphs", "relations", "ranks", "folds", "code"):
+    importlib.import_module(f"quern.plans.{_module}")
