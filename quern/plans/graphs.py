@@ -1 +1,215 @@
-"""Queries."""
+"""Queries of graph operators on the trade graph: customers' nations order from suppliers' nations, by brand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.operators import graph as G
+from quern.operators.storage import materialise
+from quern.registry import query, table
+
+ITERATIONS = 20
+ENTRIES, SINKS = ["NATION_1", "NATION_4", "NATION_9"], ["NATION_2", "NATION_7", "NATION_15"]
+
+TAGS_SQL = """
+l AS (SELECT s.s_nationkey AS def, c.c_nationkey AS ref, p_brand, l_quantity, p_size FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
+      JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
+refs AS (SELECT 'NATION_' || ref AS file, p_brand AS name FROM l WHERE l_quantity < 25),
+defs AS (SELECT DISTINCT 'NATION_' || def AS file, p_brand AS name FROM l WHERE l_quantity >= 49 AND p_size >= 49 AND p_brand > 'Brand#2'),
+counted AS (SELECT file, name, count(*) AS n FROM refs GROUP BY ALL),
+definers AS (SELECT name, count(*) AS definers FROM defs GROUP BY 1),
+multi AS (
+  SELECT c.file AS src, d.file AS dst, c.name AS ident,
+         CASE WHEN regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[a-z]') AND length(name) >= 8 THEN 10.0 ELSE 1.0 END
+         * CASE WHEN definers > 5 THEN 0.1 ELSE 1.0 END * sqrt(n) AS weight
+  FROM counted c JOIN definers USING (name) JOIN defs d USING (name)
+  UNION ALL SELECT file, file, name, 0.1 FROM defs WHERE name NOT IN (SELECT name FROM refs))"""
+EDGES_SQL = """
+flow AS (SELECT 'NATION_' || c.c_nationkey AS src, 'NATION_' || s.s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
+         JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY ALL),
+edges AS (SELECT src, dst, sqrt(n) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n * 37 % 101, dst) AS r FROM flow) WHERE r <= 3)"""
+
+
+def _nation(column: str):
+    return F.concat(F.lit("NATION_"), F.col(column))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    return lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(definitions, references): a nation defines the brands that it supplies in bulk and refers to those that it buys in small lots."""
+    lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    refs = lines.filter("l_quantity < 25").select(_nation("c_nationkey").alias("file"), F.col("p_brand").alias("name"))
+    defs = lines.filter("l_quantity >= 49 AND p_size >= 49 AND p_brand > 'Brand#2'").select(_nation("s_nationkey").alias("file"), F.col("p_brand").alias("name"))
+    return defs, refs
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): three suppliers of each nation, dealt by a mix of their trade so that the graph is not a star."""
+    flow = _lines(spark, sf_dir).groupBy(_nation("c_nationkey").alias("src"), _nation("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = flow.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.col("n") * 37 % 101, "dst"))).filter("r <= 3")
+    return materialise(ranked.select("src", "dst", F.sqrt("n").alias("weight")), "trade-edges")
+
+
+def nodes_of(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+@query("G3_reference_graph", f"WITH {TAGS_SQL} SELECT src, dst, ident, round(weight, 6) AS weight FROM multi")
+def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reference_graph(*tags(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+def _rank_sql(edges: str, personal: str) -> str:
+    """PageRank with a CTE for each iteration. ``personal``: an expression of node with sum N."""
+    parts = [
+        f"w AS (SELECT src, dst, sum(weight) AS weight FROM {edges} GROUP BY ALL)",
+        "share AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM w)",
+        "nodes AS (SELECT src AS node FROM w UNION SELECT dst FROM w)",
+        f"pers AS (SELECT node, CAST({personal} AS DOUBLE) AS raw FROM nodes)",
+        "tele AS MATERIALIZED (SELECT node, CASE WHEN sum(raw) OVER () > 0 THEN raw * count(*) OVER () / sum(raw) OVER () ELSE 1.0 / count(*) OVER () END * 0.15 / count(*) OVER () AS base, 1.0 / count(*) OVER () AS start FROM pers)",
+        "r0 AS (SELECT node, start AS rank FROM tele)",
+    ]
+    for i in range(1, ITERATIONS + 1):
+        parts.append(f"r{i} AS MATERIALIZED (SELECT node, base + 0.85 * coalesce(s, 0) AS rank FROM tele LEFT JOIN (SELECT dst AS node, sum(rank * share) AS s FROM share JOIN r{i - 1} ON src = node GROUP BY 1) USING (node))")
+    return ", ".join(parts)
+
+
+@query("G6_pagerank", f"WITH {EDGES_SQL}, {_rank_sql('edges', '0')} SELECT node, round(rank, 9) AS rank FROM r{ITERATIONS}")
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.pagerank(trade_edges(spark, sf_dir), iterations=ITERATIONS, tolerance=0).select("node", F.round("rank", 9).alias("rank"))
+
+
+_PERSONAL = f"CASE WHEN node IN ({', '.join(repr(e) for e in ENTRIES)}) THEN 40.0 ELSE 0 END"
+
+
+@query("G5_G6_personalised_pagerank", f"WITH {EDGES_SQL}, {_rank_sql('edges', _PERSONAL)} SELECT node, round(rank, 9) AS rank FROM r{ITERATIONS}")
+def personalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    personal = nodes_of(spark, ENTRIES).withColumn("weight", F.lit(40.0))
+    return G.pagerank(trade_edges(spark, sf_dir), personal, ITERATIONS, 0).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(
+    "G7_distributed_rank",
+    f"WITH {TAGS_SQL}, {_rank_sql('multi', '0')}, t AS (SELECT src, sum(weight) AS total FROM multi GROUP BY 1) "
+    f"SELECT dst, ident, round(sum(rank * weight / total), 9) AS rank FROM multi JOIN t USING (src) JOIN r{ITERATIONS} ON node = src GROUP BY 1, 2",
+)
+def distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = materialise(G.reference_graph(*tags(spark, sf_dir)), "reference-graph")
+    return G.distribute(edges, G.pagerank(edges, iterations=ITERATIONS, tolerance=0)).select("dst", "ident", F.round("rank", 9).alias("rank"))
+
+
+def _list(names: list[str]) -> str:
+    return ", ".join(f"('{n}')" for n in names)
+
+
+_REACH = (
+    f"en AS (SELECT * FROM (VALUES {_list(ENTRIES)}) v(node)), si AS (SELECT * FROM (VALUES {_list(SINKS)}) v(node)), "
+    "fwd AS (SELECT en.node AS entry, dst AS node FROM en JOIN edges ON src = en.node UNION SELECT entry, dst FROM fwd JOIN edges ON src = node), "
+    "bwd AS (SELECT si.node AS sink, src AS node FROM si JOIN edges ON dst = si.node UNION SELECT sink, src FROM bwd JOIN edges ON dst = node), "
+    "pr AS (SELECT entry, sink FROM fwd JOIN (SELECT node AS sink FROM si) ON sink = fwd.node), "
+    "hit AS (SELECT f.node FROM fwd f JOIN bwd b ON f.node = b.node JOIN pr ON pr.entry = f.entry AND pr.sink = b.sink)"
+)
+
+
+@query("G8a_attack_scores_files", f"WITH RECURSIVE {EDGES_SQL}, {_REACH} SELECT node, 500.0 * count(*) AS score FROM (SELECT * FROM hit UNION ALL SELECT entry FROM pr UNION ALL SELECT sink FROM pr) GROUP BY 1")
+def attack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.attack_scores(trade_edges(spark, sf_dir), nodes_of(spark, ENTRIES), nodes_of(spark, SINKS), True)
+
+
+@query("G8b_attack_scores_functions", f"WITH RECURSIVE {EDGES_SQL}, {_REACH} SELECT node, 500.0 * count(*) AS score FROM hit GROUP BY 1")
+def attack_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.attack_scores(trade_edges(spark, sf_dir), nodes_of(spark, ENTRIES), nodes_of(spark, SINKS), False)
+
+
+def _bfs_sql(depth: int) -> str:
+    """Levels unrolled: a node's place in its level by its first parent's place, then by name."""
+    parts = [f"b0 AS (SELECT node AS entry, node, 0 AS depth, 1 AS place FROM (VALUES {_list(ENTRIES)}) v(node))"]
+    for i in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT entry, node FROM b{j}" for j in range(i))
+        parts.append(
+            f"b{i} AS MATERIALIZED (SELECT entry, node, {i} AS depth, row_number() OVER (PARTITION BY entry ORDER BY parent, node) AS place FROM (SELECT entry, dst AS node, min(place) AS parent FROM b{i - 1} JOIN edges ON src = node GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM ({before}) s WHERE s.entry = x.entry AND s.node = x.node))"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(depth + 1))
+    return f"{', '.join(parts)} SELECT entry, node, depth, position FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY depth, place) AS position FROM ({every})) WHERE position <= 10"
+
+
+@query("G9_G10_bfs", f"WITH {EDGES_SQL}, {_bfs_sql(8)}")
+def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bfs(trade_edges(spark, sf_dir), nodes_of(spark, ENTRIES), 8, 10)
+
+
+_ENDS = f"ends AS (SELECT e.node AS entry, s.node AS sink FROM (VALUES {_list(ENTRIES)}) e(node), (VALUES {_list(SINKS)}) s(node))"
+
+
+@query(
+    "G11_simple_paths",
+    f"WITH RECURSIVE {EDGES_SQL}, {_ENDS}, p AS (SELECT entry, sink, [entry] AS path FROM ends WHERE entry <> sink UNION ALL SELECT entry, sink, list_append(path, dst) FROM p JOIN edges ON src = path[-1] WHERE NOT list_contains(path, dst) AND path[-1] <> sink AND len(path) <= 6) "
+    "SELECT entry, sink, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY len(path), path) AS r FROM p WHERE path[-1] = sink) WHERE r <= 5",
+)
+def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five paths by length, then by name, of each pair."""
+    ends = nodes_of(spark, ENTRIES).withColumnRenamed("node", "entry").join(nodes_of(spark, SINKS).withColumnRenamed("node", "sink"))
+    paths = G.simple_paths(trade_edges(spark, sf_dir), ends, 6)
+    order = Window.partitionBy("entry", "sink").orderBy(F.size("path"), "path")
+    return paths.withColumn("r", F.row_number().over(order)).filter("r <= 5").select("entry", "sink", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    "G13_backtrack",
+    f"WITH RECURSIVE {EDGES_SQL}, c AS (SELECT node AS sink, [node] AS path FROM (VALUES {_list(SINKS)}) v(node) UNION ALL SELECT sink, list_prepend(src, path) FROM c JOIN edges ON dst = path[1] WHERE NOT list_contains(path, src) AND len(path) <= 4) "
+    "SELECT sink, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY len(path) DESC, path) AS r FROM c WHERE len(path) > 1) WHERE r = 1",
+)
+def backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.backtrack(trade_edges(spark, sf_dir), nodes_of(spark, SINKS), 5).select("sink", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    "G1_degrees",
+    f"WITH {EDGES_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY 1",
+)
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade_edges(spark, sf_dir)
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+@query("G2_callers_by_name", "SELECT DISTINCT p_type AS callee, p_brand AS caller FROM part")
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("callee"), F.col("p_brand").alias("caller")).distinct()
+
+
+@query(
+    "G12_noise_filtered_graph",
+    f"WITH {EDGES_SQL} SELECT dst AS src, src AS dst FROM edges WHERE NOT regexp_matches(src, '_1[0-9]$') AND NOT regexp_matches(dst, '_1[0-9]$')",
+)
+def noise_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = lambda c: ~F.col(c).rlike("_1[0-9]$")
+    return trade_edges(spark, sf_dir).filter(keep("src") & keep("dst")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+_TOP = (
+    f"WITH RECURSIVE {TAGS_SQL}, {_rank_sql('multi', _PERSONAL)}, edges AS (SELECT DISTINCT src, dst FROM multi), {_REACH}, "
+    "ap AS (SELECT node, 500.0 * count(*) AS score FROM (SELECT * FROM hit UNION ALL SELECT entry FROM pr UNION ALL SELECT sink FROM pr) GROUP BY 1), "
+    f"f AS (SELECT node, 0.3 * rank + 0.7 * coalesce(score, 0) AS final FROM r{ITERATIONS} LEFT JOIN ap USING (node)), "
+    "n AS (SELECT *, row_number() OVER (ORDER BY final) - 1 AS i, count(*) OVER () AS n FROM f), "
+    "q AS (SELECT max(CASE WHEN i = CAST(floor((n - 1) * 80 / 100) AS BIGINT) THEN final END) AS p80, max(CASE WHEN i = CAST(floor((n - 1) * 40 / 100) AS BIGINT) THEN final END) AS p40 FROM n) "
+    "SELECT node, round(final, 6) AS final, CASE WHEN final >= p80 THEN 'hot' WHEN final >= p40 THEN 'warm' ELSE 'cold' END AS tier FROM f, q ORDER BY final DESC, node LIMIT 15"
+)
+
+
+@query("director_top_targets", _TOP)
+def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference graph, personalised PageRank, attack paths, .3 / .7 score, percentile tiers, the top 15."""
+    from quern.operators.ranking import tiers
+
+    edges = materialise(G.reference_graph(*tags(spark, sf_dir)), "reference-graph")
+    ranks = G.pagerank(edges, nodes_of(spark, ENTRIES).withColumn("weight", F.lit(40.0)), ITERATIONS, 0)
+    paths = G.attack_scores(edges, nodes_of(spark, ENTRIES), nodes_of(spark, SINKS), True)
+    final = materialise(ranks.join(paths, "node", "left").select("node", (0.3 * F.col("rank") + 0.7 * F.coalesce("score", F.lit(0.0))).alias("final")), "final-scores")
+    return tiers(final, "final").orderBy(F.desc("final"), "node").limit(15).select("node", F.round("final", 6).alias("final"), "tier")

@@ -1 +1,246 @@
-"""Queries."""
+"""Queries of joins, set operations and aggregations on the business tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import scalars as S
+from quern.operators import joins as J
+from quern.registry import query, table
+
+_ROUTE = r"regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '\d+', '${id}', 'g')"
+_KEY = f"CASE WHEN starts_with(regexp_replace(trim(lower(regexp_replace({_ROUTE}, '\\$\\{{[^}}]+\\}}', '{{param}}', 'g'))), '/$', ''), '/') THEN '' ELSE '/' END || regexp_replace(trim(lower(regexp_replace({_ROUTE}, '\\$\\{{[^}}]+\\}}', '{{param}}', 'g'))), '/$', '')"
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    route = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\d+", r"\${id}")
+    return table(spark, sf_dir, "pages").select("page_id", S.normalize_route(S.resolve_params(route)).alias("key"))
+
+
+@query("J1_J2_route_match", f"WITH r AS (SELECT page_id, {_KEY} AS key FROM pages), b AS (SELECT key, min(page_id) AS endpoint FROM r WHERE page_id % 3 = 0 GROUP BY 1) SELECT page_id, key, endpoint, endpoint IS NOT NULL AS matched FROM r LEFT JOIN b USING (key) WHERE page_id % 3 <> 0")
+def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontend calls (pages not divisible by 3) with the first endpoint of their normalised route."""
+    routes = _routes(spark, sf_dir)
+    back = routes.filter("page_id % 3 = 0").select("key", F.col("page_id").alias("endpoint"), F.col("page_id").alias("ordinal"))
+    found = J.first_match(routes.filter("page_id % 3 <> 0"), back, "key", "ordinal")
+    return found.select("page_id", "key", "endpoint", F.col("endpoint").isNotNull().alias("matched"))
+
+
+@query("J2_unmatched_backend", f"WITH r AS (SELECT page_id, {_KEY} AS key FROM pages), b AS (SELECT key, min(page_id) AS endpoint FROM r WHERE page_id % 3 = 0 GROUP BY 1) SELECT page_id FROM r WHERE page_id % 3 = 0 AND page_id NOT IN (SELECT endpoint FROM b WHERE key IN (SELECT key FROM r WHERE page_id % 3 <> 0))")
+def unmatched_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints that no call was matched to; of equal routes only the first is ever matched."""
+    routes = _routes(spark, sf_dir)
+    back = routes.filter("page_id % 3 = 0")
+    firsts = back.groupBy("key").agg(F.min("page_id").alias("page_id"))
+    used = firsts.join(routes.filter("page_id % 3 <> 0").select("key").distinct(), "key", "left_semi")
+    return back.select("page_id").join(used.select("page_id"), "page_id", "left_anti")
+
+
+@query("J3_defs_refs", "SELECT p_brand AS ident, count(*) AS pairs FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10) JOIN (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size > 40) USING (p_brand) GROUP BY 1")
+def defs_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    defs = part.filter("p_size < 10").select("p_brand", "p_type").distinct().groupBy("p_brand").agg(F.count(F.lit(1)).alias("d"))
+    refs = part.filter("p_size > 40").select("p_brand", "p_size").distinct().groupBy("p_brand").agg(F.count(F.lit(1)).alias("r"))
+    return defs.join(refs, "p_brand").select(F.col("p_brand").alias("ident"), (F.col("d") * F.col("r")).alias("pairs"))
+
+
+@query(
+    "J5_call_resolution",
+    "WITH f AS (SELECT 'mod.' || p_brand || '.' || p_partkey AS qname, p_partkey AS ordinal FROM part), c AS (SELECT event_id AS call_id, 'mod' AS scope, CASE event_id % 5 WHEN 0 THEN 'mod.' || p_brand || '.' || p_partkey WHEN 1 THEN p_brand || '.' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'np.' || event_type ELSE 'print' END AS name FROM events JOIN part ON p_partkey = 1 + event_id % 150), "
+    "w AS (SELECT call_id, 1 AS p, ordinal, qname AS target, 'exact' AS how FROM c JOIN f ON name = qname UNION ALL SELECT call_id, 2, ordinal, qname, 'scope' FROM c JOIN f ON scope || '.' || name = qname UNION ALL SELECT call_id, 3, ordinal, qname, 'suffix' FROM c JOIN f ON ends_with(qname, '.' || name) UNION ALL SELECT call_id, 4, 0, 'numpy' || substr(name, 3), 'import' FROM c WHERE starts_with(name, 'np.') UNION ALL SELECT call_id, 5, 0, name, 'builtin' FROM c WHERE name = 'print') "
+    "SELECT call_id, target, how FROM c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY p, ordinal) AS r FROM w) USING (call_id) WHERE r = 1 OR r IS NULL",
+)
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    functions = part.select(F.concat(F.lit("mod."), "p_brand", F.lit("."), "p_partkey").alias("qname"), F.col("p_partkey").alias("ordinal"))
+    which = F.col("event_id") % 5
+    name = F.when(which == 0, F.concat(F.lit("mod."), "p_brand", F.lit("."), "p_partkey")).when(which == 1, F.concat("p_brand", F.lit("."), "p_partkey")).when(which == 2, F.col("p_partkey").cast("string")).when(which == 3, F.concat(F.lit("np."), "event_type")).otherwise(F.lit("print"))
+    events = table(spark, sf_dir, "events")
+    calls = events.join(part, F.col("p_partkey") == 1 + F.col("event_id") % 150).select(F.col("event_id").alias("call_id"), F.lit("f").alias("file"), F.lit("mod").alias("scope"), name.alias("name"))
+    imports = spark.createDataFrame([("f", "np", "numpy")], "file string, alias string, module string")
+    return J.resolve_calls(calls, functions, imports, ["print", "len"])
+
+
+@query(
+    "J6_interval_containment",
+    "WITH e AS (SELECT event_id, user_id, epoch(ts) AS t FROM events), s AS (SELECT event_id AS span_id, user_id, t - 3600 AS low, t + 7200 AS high FROM e WHERE event_id % 20 = 0) SELECT event_id, span_id FROM e JOIN s USING (user_id) WHERE t >= low AND t + 60 <= high",
+)
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one minute inside a user's spans."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1e6).alias("t")).withColumn("end", F.col("t") + 60)
+    spans = e.filter("event_id % 20 = 0").select(F.col("event_id").alias("span_id"), "user_id", (F.col("t") - 3600).alias("low"), (F.col("t") + 7200).alias("high"))
+    return J.contained(e, spans, "user_id", "t", "end", "low", "high", 7200.0).select("event_id", "span_id")
+
+
+@query("J7_J8_callers_of_name", "SELECT a.p_partkey AS callee, count(*) AS callers FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size GROUP BY 1")
+def callers_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a name (brand and size) with all its overloads, counted before the join rather than paired."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    sizes = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("callers"))
+    return part.join(sizes, ["p_brand", "p_size"]).select(F.col("p_partkey").alias("callee"), "callers")
+
+
+@query("J10_fuzzy_file", "WITH w AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN url ELSE 'x/' || regexp_extract(url, '[^/]*$') END AS name FROM pages), f AS (SELECT url AS path, page_id AS ordinal FROM pages), m AS (SELECT name, 1 AS p, ordinal, path FROM w JOIN f ON name = path UNION ALL SELECT name, 2, ordinal, path FROM w JOIN f ON regexp_extract(name, '[^/]*$') = regexp_extract(path, '[^/]*$')) SELECT name, coalesce((SELECT path FROM m WHERE m.name = w.name ORDER BY p, ordinal LIMIT 1), '') AS path FROM w")
+def fuzzy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    wanted = pages.select(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("x/"), F.substring_index("url", "/", -1))).alias("name")).distinct()
+    return J.fuzzy_file(wanted, pages.select(F.col("url").alias("path"), F.col("page_id").alias("ordinal")))
+
+
+@query("J11_attribute_bridge", "SELECT s_nationkey AS file, a.event_type AS kind, count(DISTINCT (a.event_id % 7, b.event_id % 5)) AS bridges FROM supplier JOIN events a ON a.user_id = s_suppkey AND a.event_type = 'view' JOIN events b ON b.user_id = s_suppkey AND b.event_type = 'click' GROUP BY ALL")
+def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute bridges: views store, clicks read the same user's attribute; a file is a nation."""
+    e, s = table(spark, sf_dir, "events"), table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("file"))
+    side = lambda kind, by, name: e.filter(F.col("event_type") == kind).join(s, F.col("user_id") == F.col("s_suppkey")).select("file", F.col("user_id").alias("attr"), (F.col("event_id") % by).alias(name)).distinct()
+    found = J.attribute_bridges(side("view", 7, "storer"), side("click", 5, "reader").withColumn("kind", F.lit("view")))
+    return found.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("bridges"))
+
+
+@query("J12_agreement", "SELECT a.doc_id, bool_or(coalesce(l.quality = 1 AND a.n_chars % 2 = l.toxic, false)) AS agrees, count(l.doc_id) AS n_static FROM documents a LEFT JOIN labels l ON a.doc_id = l.doc_id GROUP BY 1")
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings against static results of the same file; the same line is an agreement."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").withColumn("hit", F.lit(1))
+    same = (F.col("quality") == 1) & (F.col("n_chars") % 2 == F.col("toxic"))
+    return docs.join(labels, "doc_id", "left").groupBy("doc_id").agg(F.bool_or(F.coalesce(same, F.lit(False))).alias("agrees"), F.count("hit").alias("n_static"))
+
+
+@query("J13_candidate_cards", "SELECT p_partkey, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS cards FROM part JOIN (SELECT DISTINCT event_type FROM events) ON ends_with(lower(p_type), substr(event_type, 1, 1)) OR p_size = length(event_type) GROUP BY 1")
+def candidate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the cards whose file ends theirs or whose functions hold theirs; there are five cards, one for each event type."""
+    cards = table(spark, sf_dir, "events").select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("cards"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("t"), "p_size")
+    found = part.crossJoin(F.broadcast(cards)).withColumn("cards", F.filter("cards", lambda c: F.endswith(F.col("t"), F.substring(c, 1, 1)) | (F.col("p_size") == F.length(c))))
+    return found.filter(F.size("cards") > 0).select("p_partkey", F.array_join("cards", ",").alias("cards"))
+
+
+@query("J14_injection", "SELECT c_custkey, 'injected' AS origin FROM customer WHERE c_acctbal > 9000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").filter("c_acctbal > 9000").join(big, "c_custkey", "left_anti").select("c_custkey", F.lit("injected").alias("origin"))
+
+
+@query("J15_V1_file_check", "WITH f AS (SELECT url FROM pages WHERE page_id % 2 = 0), b AS (SELECT regexp_extract(url, '[^/]*$') AS base, min(url) AS fixed FROM f GROUP BY 1) SELECT page_id, f.url IS NOT NULL AS found, CASE WHEN f.url IS NULL THEN fixed END AS corrected FROM pages p LEFT JOIN (SELECT DISTINCT url FROM f) f ON p.url = f.url LEFT JOIN b ON regexp_extract(p.url, '[^/]*$') = base")
+def file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that isn't there is corrected to the first of the same base name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.substring_index("url", "/", -1).alias("base"))
+    files = pages.filter("page_id % 2 = 0")
+    there = files.select("url").distinct().withColumn("hit", F.lit(True))
+    fixed = files.groupBy("base").agg(F.min("url").alias("fixed"))
+    found = pages.join(there, "url", "left").join(fixed, "base", "left")
+    return found.select("page_id", F.col("hit").isNotNull().alias("found"), F.when(F.col("hit").isNull(), F.col("fixed")).alias("corrected"))
+
+
+@query("S11_two_semi_joins", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20)")
+def two_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of which both ends are nodes."""
+    nodes = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    others = table(spark, sf_dir, "part").filter("p_size < 20").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").join(nodes, "l_suppkey", "left_semi").join(others, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("D8_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    n = lambda op, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
+    return n("union", a.union(b).distinct()).union(n("intersect", a.intersect(b))).union(n("except", b.subtract(a)))
+
+
+@query("A4_A5_feedback", r"WITH f AS (SELECT event_id, user_id, event_type = 'purchase' AS triggerable, '[SAST:r' || event_id % 3 || '] seen [SAST:s' || user_id % 2 || ']' AS evidence FROM events), u AS (SELECT user_id, unnest(regexp_extract_all(evidence, '\[SAST:([^\]]+)\]', 1)) AS rule FROM f WHERE NOT triggerable) SELECT user_id, rule, n, max(n) OVER (PARTITION BY user_id) >= 2 AS suppressed FROM (SELECT user_id, rule, count(*) AS n FROM u GROUP BY ALL)")
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """False positives by file (user) and rule; a file with a rule of two or more is suppressed."""
+    text = F.concat(F.lit("[SAST:r"), F.col("event_id") % 3, F.lit("] seen [SAST:s"), F.col("user_id") % 2, F.lit("]"))
+    e = table(spark, sf_dir, "events").filter("event_type <> 'purchase'").select("user_id", F.explode(F.regexp_extract_all(text, F.lit(r"\[SAST:([^\]]+)\]"), F.lit(1))).alias("rule"))
+    counts = e.groupBy("user_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("user_id").agg((F.max("n") >= 2).alias("suppressed"))
+    return counts.join(most, "user_id")
+
+
+@query("A1_A6_report", "SELECT l_returnflag AS severity, l_linestatus AS status, count(*) AS findings, count(*) FILTER (l_discount > 0.05) AS high, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY ALL")
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("severity"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("l_discount") > 0.05).alias("high"), F.round(F.sum("l_tax"), 4).alias("tax"))
+
+
+@query("A7_buckets", "SELECT count(*) AS total, count(*) FILTER (quality = 0) AS vulnerable, count(*) FILTER (doc_id % 11 >= 4 AND doc_id % 11 < 7) AS interesting, count(*) FILTER (doc_id % 11 < 4) AS safe FROM labels")
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("doc_id") % 11
+    return table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 0).alias("vulnerable"), F.count_if((c >= 4) & (c < 7)).alias("interesting"), F.count_if(c < 4).alias("safe"))
+
+
+@query("A9_route_kpis", "SELECT o_orderpriority AS project, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS authed, count(*) FILTER (o_orderkey % 4 = 0) AS public, count(*) - count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderkey % 4 = 0) AS no_auth FROM orders GROUP BY 1")
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are both authed and public are taken off twice, as in what is matched."""
+    a = F.count_if(F.col("o_orderstatus") == "F")
+    p = F.count_if(F.col("o_orderkey") % 4 == 0)
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("project")).agg(F.count(F.lit(1)).alias("total"), a.alias("authed"), p.alias("public")).withColumn("no_auth", F.expr("total - authed - public"))
+
+
+@query("A10_top_counts", "SELECT p_type AS ext, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 10")
+def top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext").limit(10)
+
+
+@query("A11_symbol_table", "SELECT event_type AS symbol, arg_min(user_id || ':' || event_id, event_id) AS place FROM events GROUP BY 1")
+def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.min_by(F.concat("user_id", F.lit(":"), "event_id"), "event_id").alias("place"))
+
+
+@query("A2_card_signals", "SELECT user_id, event_type AS signal, count(DISTINCT event_id % 10) AS n FROM events GROUP BY ALL")
+def card_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of a file, one for each tag name; distinct pairs first, so a file with many tags is counted in parts."""
+    pairs = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("signal"), (F.col("event_id") % 10).alias("name")).distinct()
+    return pairs.groupBy("user_id", "signal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A12_score_cascade", "SELECT l_orderkey, round(min(CASE WHEN l_discount < 0.09 THEN 1 ELSE 0 END) * 0.6 + 0.4 * count(*) FILTER (l_tax > 0.02) / count(*), 2) AS score FROM lineitem GROUP BY 1")
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_discount") < 0.09, 1).otherwise(0)).alias("p0"), (F.count_if(F.col("l_tax") > 0.02) / F.count(F.lit(1))).alias("p1"))
+    return lines.select("l_orderkey", F.round(F.col("p0") * 0.6 + 0.4 * F.col("p1"), 2).alias("score"))
+
+
+@query("A13_majority_vote", "WITH v AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS vuln, o_orderkey % 11 AS conf, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), a AS (SELECT o_custkey, arg_min(vuln, r) AS vuln, arg_min(conf, r) AS conf, count(*) FILTER (vuln) >= 2 AS major, CAST(floor(avg(conf)) AS BIGINT) AS mean FROM v WHERE r <= 3 GROUP BY 1) SELECT o_custkey, CASE WHEN conf BETWEEN 4 AND 7 THEN major ELSE vuln END AS vuln, CASE WHEN conf BETWEEN 4 AND 7 AND major AND NOT vuln THEN greatest(mean, 7) WHEN conf BETWEEN 4 AND 7 AND NOT major AND vuln THEN least(mean, 3) ELSE conf END AS conf FROM a")
+def majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three votes; grey-zone results (4 to 7) are promoted or demoted by two of them."""
+    votes = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("vuln"), (F.col("o_orderkey") % 11).alias("conf"))
+    three = J.first_rows(votes, ["o_custkey"], ["o_orderkey"], 3)
+    a = three.groupBy("o_custkey").agg(F.min_by("vuln", "o_orderkey").alias("v"), F.min_by("conf", "o_orderkey").alias("c"), (F.count_if("vuln") >= 2).alias("major"), F.floor(F.avg("conf")).alias("mean"))
+    grey = F.col("c").between(4, 7)
+    conf = F.when(grey & F.col("major") & ~F.col("v"), F.greatest("mean", F.lit(7))).when(grey & ~F.col("major") & F.col("v"), F.least("mean", F.lit(3))).otherwise(F.col("c"))
+    return a.select("o_custkey", F.when(grey, F.col("major")).otherwise(F.col("v")).alias("vuln"), conf.alias("conf"))
+
+
+@query("A14_dedup_ratio", "SELECT source, round(1 - count(DISTINCT text) / count(*), 6) AS ratio FROM documents GROUP BY 1")
+def dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("source").agg(F.round(1 - F.count(F.lit(1)) / F.sum("n"), 6).alias("ratio"))
+
+
+@query("A15_cache_stats", "SELECT count(*) AS entries, CAST(sum(n - 1) AS BIGINT) AS hits FROM (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY 1)")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.col("n") - 1).alias("hits"))
+
+
+@query("S4_S5_F23_context", "WITH d AS (SELECT coalesce(regexp_extract(url, '\\.([a-z0-9]+)$', 1), '') AS ext FROM pages) SELECT ext, count(*) AS files FROM d GROUP BY 1")
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"\.([a-z0-9]+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("F27_F28_lookup", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND p_size > 10 AND p_brand <> 'Brand#11' ORDER BY p_partkey LIMIT 20")
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.lower("p_name").contains("a") & (F.col("p_size") > 10) & (F.col("p_brand") != "Brand#11")
+    return table(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
+
+
+@query("S14_grep", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents) SELECT doc_id, no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS r FROM l WHERE regexp_matches(line, '(?i)licen[cs]e|the and')) WHERE r <= 10")
+def grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten matching lines of each file."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
+    hits = F.slice(F.filter(lines, lambda x: x["line"].rlike("(?i)licen[cs]e|the and")), 1, 10)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", F.col("h.no").cast("long").alias("no"), "h.line")
+
+
+@query("S15_read_file", "SELECT doc_id, array_to_string(string_split(text, chr(10))[3:152], chr(10)) AS part FROM documents")
+def read_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 3 on, 150 at most."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 3, 150), "\n").alias("part"))
