@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,13 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
 
 
-def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: int, dtype: str, end: int, pad: int, key: int):
+def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: int, dtype: str, end: int, key: int, words: bytes):
     """Sequences of a partition's rows, numbered from the partition's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         number = first = offsets_of.get(part, 0)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         for batch in batches:
             binary = pa.types.is_binary(batch.schema.field("ids").type)
             doc, seq, slot, valid, payload, held = [], [], [], [], [], 0
@@ -59,17 +61,14 @@ def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: i
                 value = ids.as_buffer() if binary and ids.is_valid else ids.values if ids.is_valid else None
                 values = np.empty(0, dtype) if value is None else np.frombuffer(value, np.uint8) if binary else value.to_numpy(zero_copy_only=False).astype(dtype)
                 count = len(values) // length + 1
-                whole = np.full(count * length, pad, dtype)
-                whole[: len(values)] = values
-                whole[len(values)] = end
+                data = np.append(values, np.array([end], dtype)).tobytes()
                 slot.append(permute_array(np.arange(number, number + count), n, key))
                 number += count
                 doc += [doc_id] * count
                 seq += range(count)
                 valid += [length] * (count - 1) + [len(values) + 1 - (count - 1) * length]
-                data = whole.tobytes()
-                stride = len(data) // count
-                payload += [data[i * stride : (i + 1) * stride] for i in range(count)]
+                stride = length * np.dtype(dtype).itemsize
+                payload += [packer.compress(data[i * stride : (i + 1) * stride]) for i in range(count)]
                 held += len(data)
                 if held >= 8 << 20:
                     yield out()
@@ -82,13 +81,15 @@ def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: i
     return run
 
 
-def _write(folder: str, per_shard: int):
-    """Writes each shard of a partition that is sorted by slot; returns where each sequence stands."""
+def _write(folder: str, per_shard: int, length: int, dtype: str, pad: int, words: bytes):
+    """Unpacks and pads the sequences, writes each shard of a partition that is sorted by slot; returns where each sequence stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)
         files.create_dir(root, recursive=True)
         shard, sink, name = None, None, ""
+        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+        blank = np.full(length, pad, dtype).tobytes()
 
         def close() -> None:
             if sink is not None:
@@ -105,7 +106,8 @@ def _write(folder: str, per_shard: int):
                         close()
                         shard, name = s, f"{root}/.{s}-{uuid.uuid4().hex}"
                         sink = files.open_output_stream(name)
-                    buffer = payload.as_buffer()
+                    buffer = unpacker.decompress(payload.as_buffer())
+                    buffer += blank[len(buffer) :]
                     sink.write(buffer)
                     crc.append(zlib.crc32(buffer))
                 yield pa.RecordBatch.from_pydict(
@@ -120,6 +122,18 @@ def _write(folder: str, per_shard: int):
     return run
 
 
+def _dictionary(ids: DataFrame, dtype: str, rows: int = 1000, each: int = 2048) -> bytes:
+    """A compression dictionary for what is shuffled, from the beginnings of a bounded sample; it has no bearing on what is written."""
+    binary = dict(ids.dtypes)["ids"] == "binary"
+    head = F.substring("ids", 1, each) if binary else F.slice("ids", 1, each)
+    parts = [bytes(r[0]) if binary else np.array(r[0], dtype).tobytes() for r in ids.select(head.alias("ids")).limit(rows).collect() if r[0]]
+    pieces = [p[i : i + 512] for p in parts for i in range(0, len(p), 512)]
+    try:
+        return zstandard.train_dictionary(65_536, pieces).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
 def write_shards(df: DataFrame, id_col: str, ids: Column, count: Column, folder: str, length: int, per_shard: int, dtype: str = "uint16", end: int = 1, pad: int = 0, key: int = 20240229) -> DataFrame:
     """Write the sequences of ``df`` to ``folder``; rows (doc_id, seq, n_ids, slot, shard, row, crc32), one a sequence.
 
@@ -136,13 +150,14 @@ def write_shards(df: DataFrame, id_col: str, ids: Column, count: Column, folder:
     offsets, total = {}, 0
     for p, n in sorted(expected.items()):
         offsets[p], total = total, total + n
+    words = _dictionary(df.select(ids.alias("ids")), dtype)
     sequences = df.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids")).mapInArrow(
-        _cut(offsets, expected, total, length, dtype, end, pad, key), "slot long, doc_id long, seq long, n_ids long, payload binary"
+        _cut(offsets, expected, total, length, dtype, end, key, words), "slot long, doc_id long, seq long, n_ids long, payload binary"
     )
     shards = max(1, -(-total // per_shard))
     shard = F.expr(f"cast(slot div {int(per_shard)} as int)")
     dealt = sequences.repartitionById(shards, shard) if total else sequences
-    return dealt.sortWithinPartitions("slot").mapInArrow(_write(folder, per_shard), "doc_id long, seq long, n_ids long, slot long, shard long, row long, crc32 long")
+    return dealt.sortWithinPartitions("slot").mapInArrow(_write(folder, per_shard, length, dtype, pad, words), "doc_id long, seq long, n_ids long, slot long, shard long, row long, crc32 long")
 
 
 def read_shards(folder: str, length: int, per_shard: int, dtype: str = "uint16", start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
