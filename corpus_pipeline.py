@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, materialise
+from quern.llm.common import documents, materialise, ship
 from quern.llm.exact_dedup import dedup_exact
 from quern.llm.jaccard import near_groups
 from quern.llm.packing import pack_documents
@@ -22,13 +22,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANG_SCORE = 0.25
 
 
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id is among ``kept`` (column doc_id); null is an id like others."""
+    ids = kept.select(F.col("doc_id").alias("__kept"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi").select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that too many documents of their host share."""
+    ship(spark)
     return clean(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; a null lang gets the predicted one. Learns from the stage's labelled documents."""
+    ship(spark)
     found = identify(docs, train(docs.select("text", "lang")), "text", COLUMNS)
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -36,18 +44,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
-    kept = dedup_exact(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _keep(docs, dedup_exact(docs).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id."""
-    kept = near_groups(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    ship(spark)
+    return _keep(docs, near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, length, bin, offset of each piece."""
+    ship(spark)
     return pack_documents(docs)
 
 
