@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,90 +81,90 @@ def sql_any(conditions: list[str]) -> str:
     return "(" + " OR ".join(conditions) + ")"
 
 
-def _map(name: str, values: list[str], columns: dict[str, tuple[Column, str]]) -> None:
-    """Register a query of event_id, x (the value dealt to the event) and ``columns`` of x."""
+def _map(name: str, values: list[str], columns: dict[str, tuple[Callable[[Column], Column], str]]) -> None:
+    """Register a query of event_id, x (the value dealt to the event) and ``columns`` of x: (function of x, SQL of x).
+
+    Columns are made when the query runs, so importing this module needs no session.
+    """
     sql = f"SELECT event_id, x, {', '.join(f'{s} AS {c}' for c, (_, s) in columns.items())} FROM (SELECT event_id, {sql_pick(values)} AS x FROM events)"
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         dealt = table(spark, sf_dir, "events").select("event_id", pick(values).alias("x"))
-        return dealt.select("event_id", "x", *[column.alias(c) for c, (column, _) in columns.items()])
+        return dealt.select("event_id", "x", *[column(F.col("x")).alias(c) for c, (column, _) in columns.items()])
 
 
-x = F.col("x")
 _map(
     "F1_classify_sink",
     NAMES,
-    {"kind": (C.classify_sink(x), sql_case([(sql_named(p), sql_text(k)) for p, k in T.EXACT_SINKS] + [(sql_match("(?i)" + p), sql_text(k)) for p, k in T.SINK_REGEX]))},
+    {"kind": (lambda x: C.classify_sink(x), sql_case([(sql_named(p), sql_text(k)) for p, k in T.EXACT_SINKS] + [(sql_match("(?i)" + p), sql_text(k)) for p, k in T.SINK_REGEX]))},
 )
-_map("F2_sensitive_body", SNIPPETS, {"kind": (C.classify_body(x), sql_case([(sql_match(p), sql_text(k)) for p, k in T.SENSITIVE_CALLS]))})
-_map("F3_entry_point", NAMES, {"is_entry": (C.is_entry_point(x), sql_any([sql_match(p) for p in T.ENTRY_POINTS]))})
-_map("F4_taint_source", NAMES, {"source": (C.source_of(x), sql_case([(f"starts_with(x, {sql_text(s)})", sql_text(s)) for s in T.PYTHON_SOURCES]))})
+_map("F2_sensitive_body", SNIPPETS, {"kind": (lambda x: C.classify_body(x), sql_case([(sql_match(p), sql_text(k)) for p, k in T.SENSITIVE_CALLS]))})
+_map("F3_entry_point", NAMES, {"is_entry": (lambda x: C.is_entry_point(x), sql_any([sql_match(p) for p in T.ENTRY_POINTS]))})
+_map("F4_taint_source", NAMES, {"source": (lambda x: C.source_of(x), sql_case([(f"starts_with(x, {sql_text(s)})", sql_text(s)) for s in T.PYTHON_SOURCES]))})
 _map(
     "F5_taint_sink",
     NAMES,
     {
-        "sink": (C.sink_of(x), sql_case([(f"x = {sql_text(s)}" if "." in s else sql_named(s), sql_text(s)) for s in T.PYTHON_SINKS])),
-        "severity": (C.first_of([(C.sink_of(x) == s, v) for s, v in T.PYTHON_SINKS.items()]), sql_case([(f"x = {sql_text(s)}" if "." in s else sql_named(s), sql_text(v)) for s, v in T.PYTHON_SINKS.items()])),
+        "sink": (lambda x: C.sink_of(x), sql_case([(f"x = {sql_text(s)}" if "." in s else sql_named(s), sql_text(s)) for s in T.PYTHON_SINKS])),
+        "severity": (lambda x: C.first_of([(C.sink_of(x) == s, v) for s, v in T.PYTHON_SINKS.items()]), sql_case([(f"x = {sql_text(s)}" if "." in s else sql_named(s), sql_text(v)) for s, v in T.PYTHON_SINKS.items()])),
     },
 )
-_map("F6_sanitizer", NAMES, {"sanitizes": (C.is_sanitizer(x), sql_any([sql_named(s) for s in T.PYTHON_SANITIZERS]))})
+_map("F6_sanitizer", NAMES, {"sanitizes": (lambda x: C.is_sanitizer(x), sql_any([sql_named(s) for s in T.PYTHON_SANITIZERS]))})
 _map(
     "F8_noise_call",
     NAMES,
-    {"noise": (C.is_noise_call(x), f"(lower(trim(x)) IN ({', '.join(map(sql_text, T.NOISE_CALLS))}) OR regexp_matches(lower(trim(x)), '^(log|logger|logging)\\.({'|'.join(T.LOG_LEVELS)})$'))")},
+    {"noise": (lambda x: C.is_noise_call(x), f"(lower(trim(x)) IN ({', '.join(map(sql_text, T.NOISE_CALLS))}) OR regexp_matches(lower(trim(x)), '^(log|logger|logging)\\.({'|'.join(T.LOG_LEVELS)})$'))")},
 )
 _map(
     "F9_sanitizer_and_auth_terms",
     SNIPPETS,
     {
-        "sanitized": (C.has_term(x, T.SANITIZER_TERMS), sql_any([f"contains(lower(x), {sql_text(t)})" for t in T.SANITIZER_TERMS])),
-        "gated": (C.has_term(x, T.AUTH_TERMS), sql_any([f"contains(lower(x), {sql_text(t)})" for t in T.AUTH_TERMS])),
+        "sanitized": (lambda x: C.has_term(x, T.SANITIZER_TERMS), sql_any([f"contains(lower(x), {sql_text(t)})" for t in T.SANITIZER_TERMS])),
+        "gated": (lambda x: C.has_term(x, T.AUTH_TERMS), sql_any([f"contains(lower(x), {sql_text(t)})" for t in T.AUTH_TERMS])),
     },
 )
-_map("F10_excluded_dir", PATHS, {"excluded": (x.rlike(T.EXCLUDED_DIR), sql_match(T.EXCLUDED_DIR))})
-_map("F11_validation_name", NAMES + ["sanitize_input", "is_safe_path"], {"validates": (x.rlike(T.VALIDATION), sql_match(T.VALIDATION))})
-_map("F12_depth_guard", SNIPPETS, {"guarded": (C.has_depth_guard(x), sql_any([sql_match(p) for p in T.DEPTH_GUARDS]))})
+_map("F10_excluded_dir", PATHS, {"excluded": (lambda x: x.rlike(T.EXCLUDED_DIR), sql_match(T.EXCLUDED_DIR))})
+_map("F11_validation_name", NAMES + ["sanitize_input", "is_safe_path"], {"validates": (lambda x: x.rlike(T.VALIDATION), sql_match(T.VALIDATION))})
+_map("F12_depth_guard", SNIPPETS, {"guarded": (lambda x: C.has_depth_guard(x), sql_any([sql_match(p) for p in T.DEPTH_GUARDS]))})
 _map(
     "F13_recursive_call",
     ["def|f|return f (n - 1)", "def|g|return h(n)", "def|walk|self.walk(x)", "def|a.b|a.b(1)", "def|run|prerun(1)"],
-    {"recursive": (F.expr(r"regexp_like(split_part(x, '|', 3), concat('\\b', regexp_replace(split_part(x, '|', 2), '([.])', '\\\\$1'), '\\s*\\('))"), r"regexp_matches(split_part(x, '|', 3), '\b' || regexp_replace(split_part(x, '|', 2), '([.])', '\\\1', 'g') || '\s*\(')")},
+    {"recursive": (lambda x: F.expr(r"regexp_like(split_part(x, '|', 3), concat('\\b', regexp_replace(split_part(x, '|', 2), '([.])', '\\\\$1'), '\\s*\\('))"), r"regexp_matches(split_part(x, '|', 3), '\b' || regexp_replace(split_part(x, '|', 2), '([.])', '\\\1', 'g') || '\s*\(')")},
 )
 _map(
     "F16_sink_type",
     NAMES,
-    {"kind": (C.sink_type(x), sql_case([(f"x = {sql_text(k)}", sql_text(v)) for k, v in T.SINK_TYPES.items()] + [(sql_any([f"contains(lower(x), {sql_text(p)})" for p in parts]), sql_text(k)) for parts, k in T.SINK_TYPE_PARTS], "'sink'"))},
+    {"kind": (lambda x: C.sink_type(x), sql_case([(f"x = {sql_text(k)}", sql_text(v)) for k, v in T.SINK_TYPES.items()] + [(sql_any([f"contains(lower(x), {sql_text(p)})" for p in parts]), sql_text(k)) for parts, k in T.SINK_TYPE_PARTS], "'sink'"))},
 )
-_map("F17_rule_id", NAMES, {"rule_id": (C.rule_id(x), sql_case([(f"x = {sql_text(k)}", sql_text(v)) for k, v in T.RULE_IDS.items()], "'taint-to-' || replace(x, '.', '-')"))})
+_map("F17_rule_id", NAMES, {"rule_id": (lambda x: C.rule_id(x), sql_case([(f"x = {sql_text(k)}", sql_text(v)) for k, v in T.RULE_IDS.items()], "'taint-to-' || replace(x, '.', '-')"))})
 _hits = "list_filter([" + ", ".join(f"CASE WHEN {sql_match(p)} THEN {sql_text(k)} END" for p, k in T.BRIDGE_SINKS) + "], lambda e: e IS NOT NULL)"
-_bridge = C.bridge_evidence(x, x)
 _map(
     "F19_bridge_evidence",
     SNIPPETS,
     {
-        "external": (_bridge["storer_external_source"], sql_any([sql_match(p) for p in T.STORER_SOURCES])),
-        "dangerous": (_bridge["reader_dangerous_sink"], f"len({_hits}) > 0"),
-        "sink_type": (_bridge["sink_type"], f"coalesce(({_hits})[-1], 'unknown')"),
+        "external": (lambda x: C.bridge_evidence(x, x)["storer_external_source"], sql_any([sql_match(p) for p in T.STORER_SOURCES])),
+        "dangerous": (lambda x: C.bridge_evidence(x, x)["reader_dangerous_sink"], f"len({_hits}) > 0"),
+        "sink_type": (lambda x: C.bridge_evidence(x, x)["sink_type"], f"coalesce(({_hits})[-1], 'unknown')"),
     },
 )
 _map(
     "F20_path_bridge",
     SNIPPETS,
-    {"kind": (C.path_bridge(x), f"CASE WHEN {sql_any([sql_match(p) for p in T.PATH_BUILDERS])} THEN {sql_case([(sql_match(p), sql_text(k)) for p, k in T.PATH_CONSUMERS])} END")},
+    {"kind": (lambda x: C.path_bridge(x), f"CASE WHEN {sql_any([sql_match(p) for p in T.PATH_BUILDERS])} THEN {sql_case([(sql_match(p), sql_text(k)) for p, k in T.PATH_CONSUMERS])} END")},
 )
-_map("F21_bridge_note", SNIPPETS, {c: (F.regexp_extract(x, T.BRIDGE_NOTE, i), f"regexp_extract(x, {sql_text(T.BRIDGE_NOTE)}, {i})") for i, c in enumerate(("attr", "storer", "reader"), 1)})
-_score, _reasons = C.file_score(x, x)
+_map("F21_bridge_note", SNIPPETS, {c: (lambda x, i=i: F.regexp_extract(x, T.BRIDGE_NOTE, i), f"regexp_extract(x, {sql_text(T.BRIDGE_NOTE)}, {i})") for i, c in enumerate(("attr", "storer", "reader"), 1)})
 _sql_high = "list_filter([" + ", ".join(f"CASE WHEN {sql_match(C.glob_regex(g))} THEN {sql_text('matches ' + g)} END" for g in T.HIGH_GLOBS) + "], lambda e: e IS NOT NULL)"
 _map(
     "F25_file_score",
     PATHS,
     {
         "score": (
-            _score,
+            lambda x: C.file_score(x, x)[0],
             f"least(CASE WHEN {sql_any([sql_match(C.glob_regex(g)) for g in T.LOW_GLOBS])} THEN greatest(least(20 * len({_sql_high}), 80) - 30, 0) ELSE least(20 * len({_sql_high}), 80) END"
             f" + CASE WHEN length(x) - length(replace(x, '/', '')) >= 3 THEN 5 ELSE 0 END + CASE WHEN {sql_any([f'ends_with(x, {sql_text(e)})' for e in T.CODE_EXTENSIONS])} THEN 10 ELSE 0 END, 100)",
         ),
-        "reasons": (_reasons, f"CASE WHEN len({_sql_high}) = 0 THEN 'heuristic match' ELSE array_to_string(({_sql_high})[1:3], '; ') END"),
+        "reasons": (lambda x: C.file_score(x, x)[1], f"CASE WHEN len({_sql_high}) = 0 THEN 'heuristic match' ELSE array_to_string(({_sql_high})[1:3], '; ') END"),
     },
 )
 _map(
@@ -170,7 +172,7 @@ _map(
     PATHS,
     {
         "noise": (
-            C.is_noise_file(x, F.length(x) * 20_000, F.repeat(x, 9)),
+            lambda x: C.is_noise_file(x, F.length(x) * 20_000, F.repeat(x, 9)),
             f"({sql_any([f'ends_with(x, {sql_text(n)})' for n in T.NOISE_NAMES] + [f'''contains(replace(x, '{chr(92)}', '/'), {sql_text(d)})''' for d in T.NOISE_DIRS])} OR length(x) * 20000 > 524288 OR length(repeat(x, 9)) > 200)",
         )
     },
@@ -179,22 +181,21 @@ _map(
     "X1_X2_X3_routes",
     ROUTES,
     {
-        "joined": (S.join_paths(F.lit("/api/"), x), "CASE WHEN trim(x, '/') = '' THEN '/api' WHEN starts_with(trim(x, '/'), 'api') THEN '/' || trim(x, '/') ELSE '/api/' || trim(x, '/') END"),
-        "normal": (S.normalize_route(x), "CASE WHEN starts_with(regexp_replace(trim(lower(x)), '/$', ''), '/') THEN regexp_replace(trim(lower(x)), '/$', '') ELSE '/' || regexp_replace(trim(lower(x)), '/$', '') END"),
-        "resolved": (S.resolve_params(x), r"regexp_replace(regexp_replace(x, '\$\{[^}]+\}', '{param}', 'g'), ':\w+', '{param}', 'g')"),
+        "joined": (lambda x: S.join_paths(F.lit("/api/"), x), "CASE WHEN trim(x, '/') = '' THEN '/api' WHEN starts_with(trim(x, '/'), 'api') THEN '/' || trim(x, '/') ELSE '/api/' || trim(x, '/') END"),
+        "normal": (lambda x: S.normalize_route(x), "CASE WHEN starts_with(regexp_replace(trim(lower(x)), '/$', ''), '/') THEN regexp_replace(trim(lower(x)), '/$', '') ELSE '/' || regexp_replace(trim(lower(x)), '/$', '') END"),
+        "resolved": (lambda x: S.resolve_params(x), r"regexp_replace(regexp_replace(x, '\$\{[^}]+\}', '{param}', 'g'), ':\w+', '{param}', 'g')"),
     },
 )
-_map("X5_node_id", [f"{p}::{n}" for p, n in zip(PATHS, NAMES, strict=False)], {"file": (S.node_parts(x)[0], "regexp_replace(x, '::[^:]*$', '')"), "function": (S.node_parts(x)[1], "regexp_extract(x, '[^:]*$')")})
+_map("X5_node_id", [f"{p}::{n}" for p, n in zip(PATHS, NAMES, strict=False)], {"file": (lambda x: S.node_parts(x)[0], "regexp_replace(x, '::[^:]*$', '')"), "function": (lambda x: S.node_parts(x)[1], "regexp_extract(x, '[^:]*$')")})
 _map(
     "X6_parameter_names",
     SIGNATURES,
-    {"names": (F.array_join(S.parameter_names(x), ","), "array_to_string(list_filter(list_transform(string_split(regexp_extract(x, '\\(([^)]*)\\)', 1), ','), lambda p: trim(regexp_replace(trim(p), '[:=].*$', ''))), lambda n: n <> '' AND n NOT IN ('self', 'cls') AND NOT starts_with(n, '*')), ',')")},
+    {"names": (lambda x: F.array_join(S.parameter_names(x), ","), "array_to_string(list_filter(list_transform(string_split(regexp_extract(x, '\\(([^)]*)\\)', 1), ','), lambda p: trim(regexp_replace(trim(p), '[:=].*$', ''))), lambda n: n <> '' AND n NOT IN ('self', 'cls') AND NOT starts_with(n, '*')), ',')")},
 )
-_map("X13_top_module", PATHS, {"module": (S.top_module(x), f"split_part(replace(x, '{chr(92)}', '/'), '/', 1)")})
-_map("D2_vuln_type", ["SQLi", " xss ", "stored_xss", "Auth", "csrf", "other", "session_fixation"], {"kind": (C.normalise_vuln_type(x), sql_case([(f"trim(lower(x)) = {sql_text(k)}", sql_text(v)) for k, v in T.VULN_ALIASES.items()], "trim(lower(x))"))})
-_sev = S.severity_of(x)
+_map("X13_top_module", PATHS, {"module": (lambda x: S.top_module(x), f"split_part(replace(x, '{chr(92)}', '/'), '/', 1)")})
+_map("D2_vuln_type", ["SQLi", " xss ", "stored_xss", "Auth", "csrf", "other", "session_fixation"], {"kind": (lambda x: C.normalise_vuln_type(x), sql_case([(f"trim(lower(x)) = {sql_text(k)}", sql_text(v)) for k, v in T.VULN_ALIASES.items()], "trim(lower(x))"))})
 _sql_sev = sql_case([(f"trim(lower(x)) = {sql_text(s)}", sql_text(s)) for s in T.SEVERITY_MULTIPLIERS] + [("trim(lower(x)) IN ('crit', 'c')", "'critical'"), ("trim(lower(x)) = 'h'", "'high'"), ("trim(lower(x)) IN ('med', 'm')", "'medium'"), ("trim(lower(x)) = 'l'", "'low'")], "'info'")
-_map("X8_severity", ["Critical", "crit", "H", " medium", "m", "low", "none", "info"], {"severity": (_sev, _sql_sev), "rank": (C.first_of([(_sev == s, 5 - v) for s, v in T.SEVERITY_SCORE.items()]), sql_case([(f"({_sql_sev}) = {sql_text(s)}", str(5 - v)) for s, v in T.SEVERITY_SCORE.items()]))})
+_map("X8_severity", ["Critical", "crit", "H", " medium", "m", "low", "none", "info"], {"severity": (S.severity_of, _sql_sev), "rank": (lambda x: C.first_of([(S.severity_of(x) == s, 5 - v) for s, v in T.SEVERITY_SCORE.items()]), sql_case([(f"({_sql_sev}) = {sql_text(s)}", str(5 - v)) for s, v in T.SEVERITY_SCORE.items()]))})
 
 
 @query(
@@ -222,7 +223,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line and evidence pattern that matches it."""
     block = F.concat(pick(SNIPPETS), F.lit("\n"), pick(SNIPPETS[5:]))
     lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.split(block, "\n")).alias("pos", "x"))
-    hits = F.array(*[F.when(x.rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(p[:60]).alias("pattern"))) for k, ps in T.EVIDENCE.items() for p in ps])
+    hits = F.array(*[F.when(F.col("x").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(p[:60]).alias("pattern"))) for k, ps in T.EVIDENCE.items() for p in ps])
     rows = lines.select("event_id", (F.col("pos") + 1).alias("line"), "x", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
     return rows.select("event_id", "line", "h.kind", "h.pattern", F.substring(F.trim("x"), 1, 120).alias("snippet"))
 
