@@ -1,8 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures, exact at 0.8.
 
 Feature domain: 64-bit shingle hashes. A set of size s and a partner of Jaccard 0.8 or more differ in floor(s / 4)
-features at most. In each band of sizes the domain is cut into as many partitions as the band's smallest size, and
-a set's content of a partition is one signature. Partitions are in one order for all sets; a set enumerates its
+features at most. In each band of sizes the domain is cut into twice as many partitions as the band's smallest size
+(a band ends at four times its start), and a set's content of a partition is one signature. Partitions are in one order for all sets; a set enumerates its
 first floor(s / 4) + 1 non-empty ones. Two linked sets share one of these: let x's last enumerated partition stand
 no later than y's; at most floor(s / 4) of x's differ from y's, so one is equal, and y, which enumerates all its
 partitions up to there, has it too. Sets within 1.25 of the next band also sign in that one. In the lowest band
@@ -14,8 +14,8 @@ documents share is enumerated only by sets that consist of little else. The list
 
 Equal sets are one node. Within a batch, a signature goes to the shuffle once; its other holders are routed
 by node. Candidates are first verified along stars (each node with the one centre it shares most signatures with); what
-is then still in different components but shares a signature is verified pair by pair, after an exact bound on
-the distance by parity bitmaps.
+is then still in different components but shares a signature is verified pair by pair. Before sets are sent, an exact bound
+on the distance by parity bitmaps drops most pairs. Sets are compared by 48 bits of each feature.
 """
 
 from __future__ import annotations
@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
 from .components import components
-from .shingles import mix, parity, set_key, shingle_set
+from .shingles import bits_apart, mix, packed, parity, set_key, shingle_set, unpacked
 
 LOWEST = 256
-PARITY = [f"p{i}" for i in range(8)]
 SAMPLE_MOD, COMMON_AT, COMMON_MAX = 32, 8, 1 << 17
+BITMAP = 1 << 24
+LAGS, TURNS = 12, 2
+#: Nodes of one signature that are compared in one task; larger groups are cut into pairs of blocks.
+BLOCK = 8192
 
 
 def signatures(features: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ def signatures(features: np.ndarray, common: np.ndarray) -> np.ndarray:
             order = np.lexsort((features, late))[: size // 5 + 1]
             out.append(mix(features[order]))
             continue
-        parts = np.uint64(LOWEST << (band - 1))
+        parts = np.uint64(2 * (LOWEST << 2 * (band - 1)))
         where = (mix(features ^ np.uint64(0xA0761D6478BD642F)) % parts) + late * parts
         order = np.argsort(where, kind="stable")
         where = where[order]
@@ -63,9 +66,9 @@ def signatures(features: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def bands(size: int) -> list[int]:
-    """The band of ``size``, and the next if a partner can be in it."""
-    own = 0 if size < LOWEST else (size // LOWEST).bit_length()
-    return [own, own + 1] if size * 5 // 4 >= LOWEST << own else [own]
+    """The band of ``size``, and the next if a partner can be in it; band k > 0 starts at LOWEST * 4 ** (k - 1)."""
+    own = 0 if size < LOWEST else ((size // LOWEST).bit_length() + 1) // 2
+    return [own, own + 1] if size * 5 // 4 >= LOWEST << 2 * own else [own]
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -77,9 +80,9 @@ def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _each_set(batches):
-        bits = np.array([parity(x) for x in sets]).reshape(len(sets), 8)
-        columns = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array([set_key(x) for x in sets], pa.int64())}
-        yield pa.RecordBatch.from_pydict(columns | {p: pa.array(bits[:, i]) for i, p in enumerate(PARITY)})
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "n": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array([set_key(x) for x in sets], pa.int64()), "bits": pa.array([parity(x) for x in sets], pa.binary())}
+        )
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +158,72 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig, last_first = route[-1], first[-1]
 
 
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs without those that can't link: 100 * both >= 80 * either is 9 * different <= sizes together, and no fewer features differ than parity bits."""
+    for batch in batches:
+        sizes = (batch["u_n"].to_numpy() + batch["v_n"].to_numpy()).tolist()
+        keep = [9 * bits_apart(x.as_py(), y.as_py()) <= n for x, y, n in zip(batch["u_bits"], batch["v_bits"], sizes, strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["u_n", "v_n", "u_bits", "v_bits"])
+
+
+def _maybe_near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v, ...) that can link, by sizes first, then by parity bitmaps."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    sizes, bits = facts.select("key", "n"), facts.select("key", "bits")
+    for side in "uv":
+        pairs = pairs.join(sizes.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n")), side)
+    pairs = pairs.filter(9 * F.abs(F.col("u_n") - F.col("v_n")) <= F.col("u_n") + F.col("v_n"))
+    for side in "uv":
+        pairs = pairs.join(bits.select(F.col("key").alias(side), F.col("bits").alias(f"{side}_bits")), side)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return pairs.select(*columns, "u_n", "v_n", "u_bits", "v_bits").mapInArrow(_within, schema)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both sets, those that link."""
     for batch in batches:
         keep = []
-        for k in range(len(batch)):
-            x, y = (np.frombuffer(batch[c][k].as_buffer(), np.uint64) for c in ("set_u", "set_v"))
+        for a, b in zip(batch["set_a"], batch["set_b"], strict=True):
+            x, y = unpacked(a.as_py()), unpacked(b.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= 80 * (len(x) + len(y) - both):
-                keep.append(k)
-        yield pa.RecordBatch.from_pydict({c: batch[c].take(pa.array(keep, pa.int64())) for c in ("u", "v")})
+            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _each_set(batches):
-        yield pa.RecordBatch.from_pydict({"key": pa.array([set_key(x) for x in sets], pa.int64()), "features": pa.array([x.tobytes() for x in sets], pa.binary())})
+def _sets(marked):
+    """Sets of the rows whose hash is marked in the bitmap."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(marked.value, np.uint64)
+        for batch in batches:
+            at = batch["row_hash"].to_numpy() % (len(bits) * 64)
+            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            for _, sets in _each_set([batch.filter(pa.array(hit.astype(bool)))]):
+                found = {set_key(x): x for x in sets}
+                yield pa.RecordBatch.from_pydict({"key": pa.array(list(found), pa.int64()), "features": pa.array([packed(x) for x in found.values()], pa.binary())})
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    u, v = (sets.select(F.col("key").alias(c), F.col("features").alias(f"set_{c}")) for c in "uv")
-    return materialise(pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_linked, "u long, v long"), "verified")
+    return run
+
+
+def _sets_of(rows: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, features) of ``nodes`` (column key) and of a few others.
+
+    One row of each node's is picked by a bitmap of ``BITMAP`` bits, so no text is shuffled, and sets cross
+    the network only to their pairs.
+    """
+    place = facts.join(nodes, "key").select(F.pmod("row_hash", F.lit(BITMAP)).alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(BITMAP // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    marked = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return rows.select("text", "row_hash").mapInArrow(_sets(marked), "key long, features binary")
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(u, v) of those of ``pairs`` (a, b) that link. The sets of b meet their pairs first; a, the centre of many pairs, has few sets to send."""
+    a, b = (_sets_of(rows, facts, pairs.select(F.col(c).alias("key")).distinct()).select(F.col("key").alias(c), F.col("features").alias(f"set_{c}")) for c in "ab")
+    held = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+    return materialise(_ordered(held.mapInArrow(_linked, "a long, b long"), "a", "b").select("u", "v").distinct(), "verified")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -188,8 +237,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     is their own id. A null id is no candidate for the smallest id of a component. Repeated rows are in one
     component. An empty input gives no rows. Other columns don't matter.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    profile = materialise(rows.mapInArrow(_profile, "doc_id long, text_hash long, n long, key long, " + ", ".join(f"{p} long" for p in PARITY)), "profile")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_hash"))
+    profile = materialise(rows.mapInArrow(_profile, "doc_id long, row_hash long, n long, key long, bits binary"), "profile")
     links = find_links(rows, profile)
     labels = materialise(components(links), "labels")
     some = profile.filter("n > 0").select("doc_id", "n", "key")
@@ -211,33 +260,104 @@ def find_links(rows: DataFrame, profile: DataFrame) -> DataFrame:
     signed = rows.select("text").mapInArrow(_sign(spark.sparkContext.broadcast(common.tobytes())), "route long, key long, sig long, centre long")
     shared = signed.repartition("route").sortWithinPartitions("route", "key").mapInArrow(_group, "kind int, a long, b long")
     shared = materialise(shared, "shared")
-    stars = materialise(_ordered(shared.filter("kind = 0"), "a", "b").groupBy("a", "b", "u", "v").agg(F.count(F.lit(1)).alias("n")), "stars")
-
-    nodes = stars.select(F.col("u").alias("key")).union(stars.select(F.col("v").alias("key"))).distinct()
-    holders = profile.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text_hash")).alias("h"), *[F.first(c).alias(c) for c in ("n", *PARITY)])
-    holders = materialise(holders.join(nodes, "key"), "holders")
-    texts = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(holders.select("h.id", "h.text_hash"), ["id", "text_hash"], "left_semi")
-    sets = materialise(texts.select("text").mapInArrow(_sets, "key long, features binary").dropDuplicates(["key"]), "sets")
-
-    best = stars.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("n", "a")).alias("centre"))
-    first = materialise(_ordered(best, "node", "centre").select("u", "v").distinct(), "first-pairs")
-    links = _verify(first, sets)
-
-    # What shares a signature and is still in different components.
+    facts = materialise(profile.groupBy("key").agg(F.min("row_hash").alias("row_hash"), F.min("n").alias("n"), F.min("bits").alias("bits")), "facts")
+    # Each node with the one centre that it shares most with; its other centres come below, if they are still apart.
+    stars = shared.filter("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    best = _ordered(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "a", "b")
+    first = materialise(_maybe_near(best, facts), "first-pairs")
+    links = _verify(first, rows, facts)
+
+    # Near copies that miss their centre meet their neighbours in orders of their own, so that large groups become
+    # connected; each node of a group has LAGS partners before it, however large the group is.
+    seen = first.select("u", "v")
+    for turn in range(TURNS):
+        order = Window.partitionBy("a").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        steps = F.array(*[F.struct(F.lag("node", k).over(order).alias("node"), F.lag("root", k).over(order).alias("root")) for k in range(1, LAGS + 1)])
+        met = _open(shared, links, facts).select("node", "root", steps.alias("steps")).select("node", "root", F.explode("steps").alias("o")).filter("o.node is not null AND o.root <> root")
+        met = _ordered(met.select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct(), "a", "b").select("u", "v").distinct()
+        met = materialise(_maybe_near(met.join(seen, ["u", "v"], "left_anti"), facts), "met-pairs")
+        if met.isEmpty():
+            break
+        seen = seen.unionByName(met)
+        links = materialise(links.unionByName(_verify(met.select(F.col("u").alias("a"), F.col("v").alias("b")), rows, facts)), "links")
+
+    # What is still in different components and shares a signature: whole groups meet in blocks, as bitmaps.
+    held = _open(shared, links, facts).join(facts.select(F.col("key").alias("node"), "bits"), "node")
+    blocks = held.join(held.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "a")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    with_each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = blocks.withColumn("own", own).select("a", "node", "root", "n", "bits", "own", with_each.alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    pairs = dealt.select("a", "i", "j", "own", "node", "root", "n", "bits").mapInArrow(_across, "u long, v long").distinct()
+    rest = materialise(pairs.join(seen, ["u", "v"], "left_anti").select(F.col("u").alias("a"), F.col("v").alias("b")), "rest-pairs")
+    return links if rest.isEmpty() else links.unionByName(_verify(rest, rows, facts))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block pair (a, i, j), rows sorted by it, the pairs in different components that can link.
+
+    A block pair has about 2 * BLOCK rows at most; pairs are compared in arrays and only those that can link leave.
+    """
+    sent: set[tuple[int, int]] = set()  # pairs of the last groups: neighbours in this order share signatures often
+
+    def out(rows: list[tuple]) -> pa.RecordBatch | None:
+        found = {(min(u, v), max(u, v)) for u, v in _can_link(rows)} - sent
+        if len(sent) > 1_000_000:
+            sent.clear()
+        sent.update(found)
+        if found:
+            return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
+        return None
+
+    last, held = None, []
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
+            if row[:3] != last:
+                if len(held) > 1 and (done := out(held)):
+                    yield done
+                last, held = row[:3], []
+            held.append(row)
+    if len(held) > 1 and (done := out(held)):
+        yield done
+
+
+def _can_link(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of (a, i, j, own, node, root, n, bits) rows in different components, of different blocks if i <> j, that pass the bounds."""
+    _, i, j = rows[0][:3]
+    own, node, root, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+    sizes = np.array([len(r[7]) for r in rows])
+    for size in np.unique(sizes):
+        same, twice = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        left = np.frombuffer(b"".join(rows[k][7] for k in same), np.uint64).reshape(len(same), -1)
+        right = left
+        if len(twice):
+            long = np.frombuffer(b"".join(rows[k][7] for k in twice), np.uint64).reshape(len(twice), 2, -1)
+            right = np.concatenate([left, long[:, 0] ^ long[:, 1]])
+        others = np.concatenate([same, twice])
+        step = max(1, (32 << 20) // max(right.nbytes, 1))
+        for at in range(0, len(same), step):
+            mine = same[at : at + step]
+            both = n[mine][:, None] + n[others][None]
+            ok = (root[mine][:, None] != root[others][None]) & (9 * np.abs(n[mine][:, None] - n[others][None]) <= both)
+            ok &= (np.arange(at, at + len(mine))[:, None] < np.arange(len(others))[None])
+            if i != j:
+                ok &= own[mine][:, None] != own[others][None]
+            if ok.any():
+                x, y = np.nonzero(ok)
+                for k in range(0, len(x), 1 << 16):
+                    p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    apart = np.bitwise_count(left[at + p] ^ right[q]).sum(1)
+                    near = 9 * apart.astype(np.int64) <= both[p, q]
+                    yield from zip(node[mine[p[near]]].tolist(), node[others[q[near]]].tolist(), strict=True)
+
+
+def _open(shared: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, node, root, n): the nodes of each signature (a) that more than one component shares."""
     labels = materialise(components(links), "labels")
-    facts = holders.join(labels, F.col("key") == F.col("node"), "left").select(F.col("key").alias("b"), F.coalesce("root", "key").alias("root"), "n", *PARITY)
-    facts = materialise(facts, "facts")
-    held = materialise(shared.filter("kind = 1").select("a", "b").distinct().join(facts.select("b", "root"), "b"), "held")
+    member = shared.filter("kind = 1").select("a", F.col("b").alias("node")).distinct()
+    held = materialise(member.join(labels, "node", "left").select("a", "node", F.coalesce("root", "node").alias("root")), "held")
     split = held.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a")
-    open_ = materialise(held.join(split, "a").join(facts.drop("root"), "b"), "open")
-    left, right = (open_.select("a", *[F.col(c).alias(f"{side}_{c}") for c in ("b", "root", "n", *PARITY)]) for side in "lr")
-    sizes = F.col("l_n") + F.col("r_n")
-    apart = sum((F.bit_count(F.col(f"l_{p}").bitwiseXOR(F.col(f"r_{p}"))) for p in PARITY), F.lit(0))
-    # 100 * both >= 80 * either is 9 * different <= sizes together; the parity bits that differ are no more than the different features.
-    near = (F.col("l_b") < F.col("r_b")) & (F.col("l_root") != F.col("r_root")) & (9 * F.abs(F.col("l_n") - F.col("r_n")) <= sizes) & (9 * apart <= sizes)
-    pairs = left.join(right, "a").filter(near).select(F.col("l_b").alias("u"), F.col("r_b").alias("v")).distinct()
-    rest = pairs.join(first, ["u", "v"], "left_anti")
-    return links.unionByName(_verify(rest, sets))
+    return materialise(held.join(split, "a").join(facts.select(F.col("key").alias("node"), "n"), "node").select("a", "node", "root", "n"), "open")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,31 @@ def set_key(features: np.ndarray) -> int:
     return int(mix(np.atleast_1d(total)).view(np.int64)[0])
 
 
-def parity(features: np.ndarray, words: int = 8) -> np.ndarray:
-    """64 * ``words`` bits, each the parity of the features that fall on it: the bits in which two sets differ are as many as their different features at most."""
-    bits = np.bincount((features >> np.uint64(40)) % np.uint64(64 * words), minlength=64 * words).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64)
+def parity(features: np.ndarray, least: int = 512, most: int = 1 << 16) -> bytes:
+    """A power of two of bits, about one to two a feature, each the parity of the features that fall on it.
+
+    Two sets' bits differ in as many places as they have different features at most, also after the longer bitmap is
+    folded onto the shorter one's length.
+    """
+    size = min(most, max(least, 1 << max(len(features) - 1, 1).bit_length()))
+    bits = np.bincount((features >> np.uint64(40)) % np.uint64(size), minlength=size).astype(np.uint8) & 1
+    return np.packbits(bits).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Places in which two parity bitmaps differ, at the shorter one's length."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8).reshape(-1, len(x))
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b, axis=0)).sum())
+
+
+def packed(features: np.ndarray) -> bytes:
+    """The upper six bytes of each sorted feature."""
+    return features.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
