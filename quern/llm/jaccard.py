@@ -73,8 +73,8 @@ def bands(size: int) -> list[int]:
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for at in range(0, len(batch), 4096):
-            part = batch.slice(at, 4096)
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
             yield part, [shingle_set(x.as_py()) for x in part["text"]]
 
 
