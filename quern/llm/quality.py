@@ -1,10 +1,9 @@
 """Quality rules: base counts of each text and cross-document line frequency by host; native.
 
-A line is normalised (lower case of A-Z, blanks collapsed) and hashed. For each host, the documents that hold a
-line are counted, and so are the contexts in which they hold it: the next line, or for a last line the one before.
-Both counts must be above the limits for the line to be removed: more documents than ``min_docs`` and than
-``share`` of the host's, and as many contexts as half of these documents at least. The second limit tells
-boilerplate, which stands among text that differs, from copies of one document, which are left to deduplication.
+A line is normalised (lower case of A-Z, blanks collapsed) and hashed. For each host, the distinct documents that
+hold a line are counted, and it is removed if they are more than ``min_docs`` and than ``share`` of the host's
+distinct documents that have a line. Documents are told apart by a 64-bit hash of all their normalised lines, so copies
+of one document count once and are left to deduplication; near copies that differ count as documents each.
 A document that loses more than ``depleted`` of its words is rejected.
 """
 
@@ -76,29 +75,26 @@ def _row_key(id_col: str, host: str, text: str) -> Column:
 
 
 def host_lines(df: DataFrame, id_col: str, host: str, text: str) -> DataFrame:
-    """(doc_id, row_key, host, line, context, words): one row for each distinct line of each document.
+    """(doc_id, row_key, host, digest, line, words): one row for each distinct line of each document.
 
-    ``words`` counts those of all the document's occurrences of the line; ``context`` is that of the first.
+    ``words`` counts those of all the document's occurrences of the line; ``digest`` is that of all its lines.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "")
-    rows = df.select(F.col(id_col).alias("doc_id"), _row_key(id_col, host, text).alias("row_key"), F.coalesce(F.col(host), F.lit("")).alias("host"), lines.alias("lines"))
-    rows = rows.withColumn(
-        "each",
-        F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), i.alias("pos"), F.xxhash64(F.coalesce(F.get("lines", i + 1), F.get("lines", i - 1))).alias("context"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))),
-    )
-    rows = rows.withColumn("runs", F.sort_array("each"))
-    at = F.transform("runs", lambda x, i: F.struct(x["line"].alias("line"), x["context"].alias("context"), x["words"].alias("words"), i.alias("at"), F.coalesce(x["line"] != F.get("runs", i - 1)["line"], F.lit(True)).alias("new")))
+    rows = df.select(F.col(id_col).alias("doc_id"), _row_key(id_col, host, text).alias("row_key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(lines).alias("digest"), lines.alias("lines"))
+    each = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
+    rows = rows.withColumn("runs", F.sort_array(each))
+    at = F.transform("runs", lambda x, i: F.struct(x["line"].alias("line"), x["words"].alias("words"), i.alias("at"), F.coalesce(x["line"] != F.get("runs", i - 1)["line"], F.lit(True)).alias("new")))
     rows = rows.withColumn("firsts", F.filter(at, lambda x: x["new"]))
-    one = F.transform("firsts", lambda x, i: F.struct(x["line"].alias("line"), x["context"].alias("context"), ((F.coalesce(F.get("firsts", i + 1)["at"], F.size("runs")) - x["at"]) * x["words"]).cast("long").alias("words")))
-    return rows.select("doc_id", "row_key", "host", F.explode(one).alias("x")).select("doc_id", "row_key", "host", "x.line", "x.context", "x.words")
+    one = F.transform("firsts", lambda x, i: F.struct(x["line"].alias("line"), ((F.coalesce(F.get("firsts", i + 1)["at"], F.size("runs")) - x["at"]) * x["words"]).cast("long").alias("words")))
+    return rows.select("doc_id", "row_key", "host", "digest", F.explode(one).alias("x")).select("doc_id", "row_key", "host", "digest", "x.line", "x.words")
 
 
 def frequent_lines(df: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = 4, share: float = 0.01) -> DataFrame:
-    """(host, line) to remove. Counts are pre-aggregated by task, so a common line isn't shuffled row by row."""
-    pairs = host_lines(df, id_col, host, text).groupBy("host", "line", "context").agg(F.count(F.lit(1)).alias("n"))
-    counts = pairs.groupBy("host", "line").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("contexts"))
-    hosts = df.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    above = (F.col("docs") > share * F.col("host_docs")) & (2 * F.col("contexts") >= F.col("docs"))
+    """(host, line) to remove. Distinct documents of a common line are dealt by their digests, then counted by task."""
+    held = materialise(host_lines(df, id_col, host, text).select("host", "line", "digest").distinct(), "host-lines")
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
+    hosts = held.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    above = F.col("docs") > share * F.col("host_docs")
     return materialise(counts.filter(F.col("docs") > min_docs).join(hosts, "host").filter(above).select("host", "line"), "frequent-lines")
 
 
@@ -107,7 +103,7 @@ def removals(df: DataFrame, frequent: DataFrame, id_col: str = "doc_id", host: s
 
     ``frequent`` is a written table: adaptive execution broadcasts it below the threshold, else splits the hot lines' partitions.
     """
-    held = host_lines(df, id_col, host, text).drop("context").join(frequent, ["host", "line"])
+    held = host_lines(df, id_col, host, text).drop("digest").join(frequent, ["host", "line"])
     # Rows repeated in the input have the same key and lines; each line counts once.
     once = held.groupBy("doc_id", "row_key", "line").agg(F.max("words").alias("words"))
     return once.groupBy("doc_id", "row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))

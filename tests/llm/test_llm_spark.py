@@ -135,6 +135,21 @@ def test_frequent_lines_go_and_copies_stay(spark):
     assert left[3] == body(3) and left[100] == copies[0][1] and 200 not in left and left[None] == body("n")
 
 
+def test_headers_and_footers_of_two_lines_go(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    heads = [(i, f"Site name\nMain menu\n{body(i)}", "head") for i in range(20)]
+    feet = [(100 + i, f"{body(i)}\nAll rights\nContact us", "foot") for i in range(20)]
+    copies = [(200 + i, f"first {body('c')}\nSecond {body('d')}" + " " * i, "copy") for i in range(20)]
+    hollow = [(300 + i, "one two three " * 2 + "\n" + " ".join(f"menu{k}" for k in range(60)) + f"\nown{i} text", "hollow") for i in range(20)]
+    df = spark.createDataFrame(heads + feet + copies + hollow, "doc_id long, text string, source string")
+    verdict = {r["doc_id"]: r for r in quality_rules(df).collect()}
+    assert all(verdict[i]["kept"] and verdict[i]["removed_words"] == 4 for i in [*range(20), *range(100, 120)])
+    assert all(verdict[200 + i]["kept"] and verdict[200 + i]["removed_words"] == 0 for i in range(20))
+    assert not any(verdict[300 + i]["base_failed"] or verdict[300 + i]["kept"] for i in range(20))
+    left = {r["doc_id"]: r["text"] for r in clean(df).collect()}
+    assert all(left[i] == left[100 + i] == body(i) for i in range(20)) and left[205] == copies[5][1]
+
+
 def test_language_id(spark, docs, none):
     model = train(docs.select("text", "lang"))
     got = identify(docs.withColumn("kind", F.lit("x")), model, "text", ["doc_id", "kind"]).collect()
