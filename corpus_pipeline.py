@@ -18,8 +18,17 @@ from quern.llm.quality import clean
 from quern.llm.stringkernel import identify, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this score no language's regression claims a text even weakly.
-MIN_LANG_SCORE = 0.25
+#: The least score is so far above the floor, as a part of what lies between the floor and 1.
+LANG_MARGIN = 1 / 3
+
+
+def least_score(languages: int) -> float:
+    """Score from which a text counts as one of so many learned languages; 0.5 with four.
+
+    The regressions of a text sum to about 2 - K for K languages, so the best score is 1 / K at least whatever the text.
+    With one language there is nothing to tell it from, and every text with letters passes.
+    """
+    return 1 / languages + LANG_MARGIN * (1 - 1 / languages) if languages > 1 else 0.0
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -37,8 +46,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; a null lang gets the predicted one. Learns from the stage's labelled documents."""
     ship(spark)
-    found = identify(docs, train(docs.select("text", "lang")), "text", COLUMNS)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
+    model = train(docs.select("text", "lang"))
+    found = identify(docs, model, "text", COLUMNS)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score(len(model[0]))))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
