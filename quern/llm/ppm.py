@@ -11,6 +11,9 @@ Since the symbols of a context are among those of its suffix, what is excluded d
 the trie unfolds to one row of log probabilities for each context, and a text is scored by looking up, for each
 position, the row of its longest known context. ``adaptive_code_length`` runs the same model on one text from
 nothing, learning as it goes.
+
+What is broadcast is bounded: where contexts are left out of it, the positions whose three symbols aren't a context of
+the broadcast part are scored by joins of their grams with the whole counts. The bound divides the work only.
 """
 
 from __future__ import annotations
@@ -130,6 +133,7 @@ class Unfolded:
             rows.append(out)
             base += len(out)
             below, parent_table, parent_known = after, table, context
+            self.longest = base - len(out) if order == ORDER else base  # the first row of a whole context, or none
         self.log10 = np.concatenate(rows)
 
     @staticmethod
@@ -141,7 +145,8 @@ class Unfolded:
         away = np.log10(np.where(escape > 0, escape / among, 1))
         return np.where(counts > 0, np.log10(np.maximum(counts, 1) / among), away + rest)
 
-    def score(self, data: bytes) -> float:
+    def score(self, data: bytes, others: list[np.ndarray] | None = None) -> float:
+        """Sum over the text. With ``others``, grams whose context of three symbols isn't here go there, not into the sum."""
         total = 0.0
         for at in range(0, len(data) + 1, _CHUNK):
             # The last symbols of the piece before are this one's context; the mark ends the last piece only.
@@ -151,7 +156,12 @@ class Unfolded:
             s[ORDER - lead : ORDER - lead + len(piece)] = np.frombuffer(piece, np.uint8)
             n = self.number[s]
             rows = self.state[n[:-3], n[1:-2], n[2:-1]]
-            total += float(self.log10[rows, s[ORDER:]].sum(dtype=np.float64))
+            logs = self.log10[rows, s[ORDER:]]
+            if others is not None:
+                away = rows < self.longest
+                others.append(((s[:-3] << 27) | (s[1:-2] << 18) | (s[2:-1] << 9) | s[3:])[away])
+                logs = logs[~away]
+            total += float(logs.sum(dtype=np.float64))
         return total
 
 
@@ -172,8 +182,12 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _bounded(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of one order, of all contexts or of those with the largest totals that keep within the bounds."""
+def _bounded(grams: DataFrame, floor: int) -> tuple[tuple[np.ndarray, np.ndarray], int | None]:
+    """Counts of one order, of all contexts or of those with the largest totals that keep within the bounds.
+
+    Also the least size class kept (None where nothing is), from ``floor`` on: that of the order below, so that a context's
+    suffix is kept as well.
+    """
     contexts = grams.groupBy(F.shiftright("code", _BITS).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
     sized = contexts.withColumn("size", F.floor(F.log2("total")))
     kept = rows = 0
@@ -185,22 +199,67 @@ def _bounded(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = r["size"]
     else:
         least = 0
+    least = None if least is None else max(least, floor)
     if least:
         large = sized.filter(F.col("size") >= least).select("context")
         grams = grams.withColumn("context", F.shiftright("code", _BITS)).join(large, "context", "left_semi")
     found = grams.select("code", "n").collect() if least is not None else []
-    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+    return (np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)), least
 
 
-def train(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Gram counts of each order from all rows of ``texts`` (column text; null counts as empty)."""
+def _of_order(top: DataFrame, order: int) -> DataFrame:
+    """(code, n) of one order from the grams of the highest."""
+    fields = F.col("code").bitwiseAND(F.lit((1 << _BITS * (order + 1)) - 1))
+    return top.groupBy(fields.alias("code")).agg(F.sum("n").alias("n"))
+
+
+def _train(texts: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], DataFrame, bool]:
+    """The counts of each order within the bounds, all counts of the highest order (code, n), and whether none is left out."""
     counted = texts.select("text").mapInArrow(_count_grams, "code long, n long")
     top = materialise(counted.groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    out = []
+    out, least = [], 0
     for order in range(ORDER + 1):
-        fields = F.col("code").bitwiseAND(F.lit((1 << _BITS * (order + 1)) - 1))
-        out.append(_bounded(top.groupBy(fields.alias("code")).agg(F.sum("n").alias("n"))))
-    return out
+        if least is None:
+            out.append((np.empty(0, np.int64), np.empty(0, np.int64)))
+            continue
+        grams, least = _bounded(_of_order(top, order), least)
+        out.append(grams)
+    return out, top, least == 0
+
+
+def train(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gram counts of each order from all rows of ``texts`` (column text; null counts as empty), within the bounds."""
+    return _train(texts)[0]
+
+
+def gram_logs(codes: DataFrame, top: DataFrame) -> DataFrame:
+    """(code, log10) of distinct grams (column code) under all counts ``top``, by joins; native.
+
+    The symbols of a context are among those of its suffix. So what is left of the suffix after an escape has the
+    difference of their distinct symbols, and its total without the counts there of the context's symbols (``gone``).
+    """
+    grams = [materialise(_of_order(top, k), f"grams-{k}") for k in range(ORDER)] + [top]
+    found = codes.select("code")
+    for k in range(ORDER, -1, -1):
+        part = grams[k].withColumn("context", F.shiftright("code", _BITS))
+        stats = [F.sum("n").alias(f"t{k}"), F.count(F.lit(1)).alias(f"d{k}")]
+        if k:
+            short = F.col("code").bitwiseAND(F.lit((1 << _BITS * k) - 1))
+            part = part.withColumn("short", short).join(grams[k - 1].select(F.col("code").alias("short"), F.col("n").alias("under")), "short")
+            stats.append(F.sum("under").alias(f"gone{k}"))
+        contexts = part.groupBy("context").agg(*stats).withColumnRenamed("context", f"c{k}")
+        own = F.col("code").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1))
+        found = found.withColumn(f"g{k}", own).withColumn(f"c{k}", F.shiftright(own, _BITS))
+        found = found.join(contexts, f"c{k}", "left").join(grams[k].select(F.col("code").alias(f"g{k}"), F.col("n").alias(f"n{k}")), f"g{k}", "left")
+    log = -F.log10(F.lit(float(SYMBOLS)) - F.coalesce("d0", F.lit(0)))
+    for k in range(ORDER + 1):
+        none = F.lit(0)
+        d, gone, above = F.col(f"d{k}"), F.coalesce(f"gone{k + 1}", none) if k < ORDER else none, F.coalesce(f"d{k + 1}", none) if k < ORDER else none
+        escape = F.when(d < SYMBOLS, d - above).otherwise(0)
+        among = F.col(f"t{k}") - gone + escape
+        away = F.when(escape > 0, F.log10(escape / among)).otherwise(0.0)
+        log = F.when(d.isNull(), log).when(F.col(f"n{k}").isNotNull(), F.log10(F.col(f"n{k}") / among)).otherwise(away + log)
+    return found.select("code", log.alias("log10"))
 
 
 _built: dict[str, tuple] = {}
@@ -210,16 +269,16 @@ def _here(shared: Broadcast, name: str) -> tuple:
     """The unfolded model of a broadcast, built once in each Python worker."""
     if name not in _built:
         _built.clear()
-        grams, words = shared.value
-        _built[name] = Unfolded(grams), words
+        grams, words, whole = shared.value
+        _built[name] = Unfolded(grams), words, whole
     return _built[name]
 
 
 def _score(shared: Broadcast, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = _here(shared, name)
+        model, logs, whole = _here(shared, name)
         for batch in batches:
-            n_tokens, n_known, base, score, tails = [], [], [], [], []
+            n_tokens, n_known, base, score, tails, others = [], [], [], [], [], []
             for text in batch["text"]:
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 words = data.lower().split()
@@ -228,10 +287,16 @@ def _score(shared: Broadcast, name: str):
                 n_known.append(len(found))
                 base.append(math.fsum(found))
                 tails.append([w for w in words if w not in logs] if len(found) < len(words) else [])
-                score.append(model.score(data))
+                away: list[np.ndarray] | None = None if whole else []
+                score.append(model.score(data, away))
+                if away is not None:
+                    others.append(np.unique(np.concatenate(away), return_counts=True))
             rest = [c for c in batch.schema.names if c != "text"]
             columns = {c: batch[c] for c in rest} | {"n_tokens": pa.array(n_tokens, pa.int64()), "n_top": pa.array(n_known, pa.int64()), "base_top": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
-            yield pa.RecordBatch.from_pydict(columns | {"tail": pa.array(tails, pa.list_(pa.binary()))})
+            columns["tail"] = pa.array(tails, pa.list_(pa.binary()))
+            if not whole:
+                columns |= {c: pa.array([x[k] for x in others], pa.list_(pa.int64())) for k, c in enumerate(("codes", "times"))}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -244,7 +309,7 @@ def score_texts(df: DataFrame, train_on: DataFrame, keep: list[str], text_col: s
     the alphabet alone. An empty ``df`` gives no rows.
     """
     spark = df.sparkSession
-    grams = train(train_on)
+    grams, counts, whole = _train(train_on)
     lowered = train_on.select(F.explode(words_of(lower_ascii(F.col("text")))).alias("word")).select(F.col("word").cast("binary"))
     words = materialise(lowered.groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")
     ends = train_on.count()
@@ -258,15 +323,21 @@ def score_texts(df: DataFrame, train_on: DataFrame, keep: list[str], text_col: s
             break
         least = r["size"]
     top = {bytes(r["word"]): math.log10((r["c"] + 0.5) / below) for r in words.filter(F.floor(F.log2("c")) >= least).collect()}
-    shared = spark.sparkContext.broadcast((grams, top))
+    shared = spark.sparkContext.broadcast((grams, top, whole))
     rows = df.select(*keep, F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    scored = materialise(rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"{kept}, n_tokens long, n_top long, base_top double, score double, tail array<binary>"), "scored")
+    away = "" if whole else ", codes array<bigint>, times array<bigint>"
+    scored = materialise(rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"{kept}, n_tokens long, n_top long, base_top double, score double, tail array<binary>{away}"), "scored")
     rare = words.filter(F.floor(F.log2("c")) < least)
     tail = scored.select("__row", F.explode("tail").alias("word")).join(rare, "word", "left")
     tail = tail.groupBy("__row").agg(F.count("c").alias("n_rare"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(below))).alias("base_rare"))
     end = math.log10((ends + 0.5) / below)
     zero = F.lit(0)
+    if not whole:
+        held = scored.select("__row", F.explode(F.arrays_zip("codes", "times")).alias("x")).select("__row", F.col("x.codes").alias("code"), "x.times")
+        logs = materialise(gram_logs(materialise(held.select("code").distinct(), "codes"), counts), "gram-logs")
+        sums = held.join(logs, "code").groupBy("__row").agg(F.sum(F.col("times") * F.col("log10")).alias("score_away"))
+        scored = scored.join(sums, "__row", "left").withColumn("score", F.col("score") + F.coalesce("score_away", F.lit(0.0)))
     return scored.join(tail, "__row", "left").select(
         *keep,
         "n_tokens",

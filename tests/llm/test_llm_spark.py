@@ -256,6 +256,25 @@ def test_bounded_model_keeps_common_contexts(spark, docs, monkeypatch):
     assert ppm.Unfolded(grams).score(b"word1 word2") < 0
 
 
+@pytest.mark.parametrize("contexts, grams", [(40, 1 << 20), (1 << 16, 100), (1, 1 << 20), (1 << 16, 5)])
+def test_the_bound_of_the_model_leaves_scores_as_they_are(spark, docs, monkeypatch, contexts, grams):
+    learned = [r[1] for r in ROWS if r[0] != 1]
+    trie = ppm.CountTrie()
+    for text in learned:
+        for before, symbol in ppm._walk(text, ppm.ORDER):
+            trie.add(before, symbol)
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", contexts)
+    monkeypatch.setattr(ppm, "MAX_GRAMS", grams)
+    other = [(20, "zebra \u00fc \u4e2d quiz word12 Alpha"), (21, "\x00\x01")]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(other, "doc_id long, text string"))
+    got = ppm.score_texts(texts, spark.createDataFrame([(t,) for t in learned], "text string"), ["doc_id"]).collect()
+    text_of = {r[0]: r[1] for r in ROWS} | dict(other)
+    assert len(got) == len(ROWS) + 2
+    for r in got:
+        wanted = sum(trie.log10(before, symbol) for before, symbol in ppm._walk(text_of[r["doc_id"]], ppm.ORDER))
+        assert r["score"] == pytest.approx(wanted, rel=1e-4)
+
+
 def test_packing(docs, none, spark):
     got = pack_documents(docs.withColumn("bin", F.lit("clash")), capacity=64).collect()
     lengths = Counter()
