@@ -7,8 +7,8 @@ sends x to K(x, landmarks) K(landmarks, landmarks)^(-1/2), and one-versus-rest r
 -1 is solved there. Since the kernel is linear in presence, landmarks and weights are folded into one matrix of
 slots by languages, and whole batches are scored by one product of their presence matrix with it.
 
-Training reads a bounded sample (``PER_LANG`` texts a language, ``MAX_LANGS`` languages), those with the smallest
-hashes of their text; what reaches the driver is their presence bitmaps of SLOTS / 8 bytes each.
+Training reads a bounded sample (``PER_LANG`` texts a language, ``MAX_LANGS`` languages; more are an
+error), those with the smallest hashes of their text; what reaches the driver is their presence bitmaps of SLOTS / 8 bytes each.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 SLOTS = 1 << 15
 PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS = 240, 48, 64
@@ -94,7 +94,9 @@ def _sample(labelled: DataFrame, per_lang: int) -> DataFrame:
     hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
     # The rank filter keeps at most per_lang rows a task and language before the shuffle.
     ranked = hashed.distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
-    bounds = ranked.groupBy("lang").agg(F.max("h").alias("most")).orderBy("lang").limit(MAX_LANGS)
+    bounds = materialise(ranked.groupBy("lang").agg(F.max("h").alias("most")), "languages")
+    if (found := bounds.count()) > MAX_LANGS:
+        raise ValueError(f"{found} languages are labelled, {MAX_LANGS} can be learned at most")
     chosen = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(bounds), "lang").filter(F.col("h") <= F.col("most"))
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

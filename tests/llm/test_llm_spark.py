@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import jaccard, ppm
+from quern.llm import jaccard, ppm, stringkernel
 from quern.llm.common import with_row_number
 from quern.llm.components import components
 from quern.llm.exact_dedup import DigestIndex, dedup_exact
@@ -162,6 +162,12 @@ def test_language_id(spark, docs, none):
     assert identify(none, model, "text", ["doc_id"]).count() == 0
 
 
+def test_more_languages_than_can_be_learned_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(stringkernel, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        train(docs.select("text", "lang"))
+
+
 def test_encoding_round_trip(docs, none):
     model = read_model()
     ids = encode(docs, "text", ["doc_id", "lang"], model)
