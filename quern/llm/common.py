@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a context, so that they need no copy of it."""
+    """Send this package to the Python workers, once a context, so that they need no copy of it.
+
+    Also bounds the bytes of an Arrow batch where the session doesn't, since rows alone don't bound long texts.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if getattr(context, "_quern_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

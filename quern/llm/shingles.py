@@ -49,44 +49,73 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hash of each word of the whole text, in order."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    out, at = [], 0
+def _words_of(data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of lower-cased ``data``, and the number of words that start before each of ``begins``."""
+    part = np.frombuffer(data, np.uint8)
+    blank = np.concatenate(([True], _IS_BLANK[part], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    up, down = _POWERS.to(len(part) + 1)
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
+    starts, ends = edges[::2], edges[1::2]
+    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, begins)
+
+
+def _long(text: bytes) -> np.ndarray:
+    """Hash of each word of a text of any length, by pieces that end between words."""
+    data, out, at = text.lower(), [np.empty(0, np.uint64)], 0
     while at < len(data):
         cut = _BLANK.search(data, at + _CHUNK)
         end = cut.start() if cut else len(data)
-        part = np.frombuffer(data, np.uint8, end - at, at)
+        out.append(_words_of(data[at:end], np.zeros(1, np.int64))[0])
         at = end
-        blank = np.concatenate(([True], _IS_BLANK[part], [True]))
-        edges = np.flatnonzero(blank[1:] != blank[:-1])
-        if len(edges):
-            up, down = _POWERS.to(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
-            starts, ends = edges[::2], edges[1::2]
-            out.append(mix((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(out)
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes; with fewer words than ``width``, the whole sequence as one; empty without words."""
-    words = word_hashes(text)
-    n = len(words)
-    if n == 0:
-        return words
-    if n < width:
-        return mix(np.atleast_1d((words * _POSITION[:n]).sum(dtype=np.uint64) + np.uint64(n)))
-    mixed = np.zeros(n - width + 1, np.uint64)
+def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each UTF-8 text, one set after the other, and where each begins (one entry more).
+
+    A text with fewer words than ``width`` has the whole sequence as one shingle; one without words has none. Texts are taken
+    together, so callers hand over about a megabyte at a time; a longer text is hashed in pieces.
+    """
+    sizes = np.array([len(x) for x in texts], np.int64)
+    if sizes.sum() <= _CHUNK:
+        begins = np.concatenate(([0], np.cumsum(sizes + 1)))
+        words, at = _words_of(b" ".join(texts).lower(), begins)
+    else:
+        each = [_long(x) for x in texts]
+        words, at = np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+    n = max(len(words) - width + 1, 0)
+    mixed = np.zeros(n, np.uint64)
     for i in range(width):
-        mixed += words[i : n - width + 1 + i] * _POSITION[i]
-    return np.unique(mix(mixed + np.uint64(width << 32)))
+        mixed += words[i : i + n] * _POSITION[i]
+    mixed = mix(mixed + np.uint64(width << 32))
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width:
+            x = mixed[a : b - width + 1]
+            x.sort()
+            new = np.empty(len(x), bool)
+            new[0] = True
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
+        elif b > a:
+            out.append(mix(np.atleast_1d((words[a:b] * _POSITION[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a))))
+        else:
+            out.append(words[:0])
+    found = np.concatenate(out) if out else words
+    return found, np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The set of one text; null has none."""
+    return shingle_sets([(text or "").encode("utf-8", "surrogatepass")], width)[0]
 
 
-def set_key(features: np.ndarray) -> int:
-    """A signed 64-bit hash of the set, the same for equal sets."""
-    total = (mix(features + np.uint64(0xD1B54A32D192ED03))).sum(dtype=np.uint64) + np.uint64(len(features))
-    return int(mix(np.atleast_1d(total)).view(np.int64)[0])
+def set_keys(features: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set, the same for equal sets."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(features + np.uint64(0xD1B54A32D192ED03)))))
+    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
 def parity(features: np.ndarray, least: int = 512, most: int = 1 << 16) -> bytes:
@@ -96,24 +125,5 @@ def parity(features: np.ndarray, least: int = 512, most: int = 1 << 16) -> bytes
     folded onto the shorter one's length.
     """
     size = min(most, max(least, 1 << max(len(features) - 1, 1).bit_length()))
-    bits = np.bincount((features >> np.uint64(40)) % np.uint64(size), minlength=size).astype(np.uint8) & 1
+    bits = np.bincount(((features >> np.uint64(40)) % np.uint64(size)).view(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(bits).tobytes()
-
-
-def bits_apart(x: bytes, y: bytes) -> int:
-    """Places in which two parity bitmaps differ, at the shorter one's length."""
-    if len(x) > len(y):
-        x, y = y, x
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8).reshape(-1, len(x))
-    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b, axis=0)).sum())
-
-
-def packed(features: np.ndarray) -> bytes:
-    """The upper six bytes of each sorted feature."""
-    return features.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()

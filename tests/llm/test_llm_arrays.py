@@ -4,16 +4,18 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import ppm
 from quern.llm.feistel import permute_array
+from quern.llm import jaccard
 from quern.llm.jaccard import bands, signatures
 from quern.llm.packing import pack_items
 from quern.llm.sentencepiece_trie import MODEL_PATH, Model, Tokenizer, read_model
-from quern.llm.shingles import bits_apart, packed, parity, set_key, shingle_set, unpacked, word_hashes
+from quern.llm.shingles import parity, set_keys, shingle_set, shingle_sets
 from quern.llm.stringkernel import fit, predict, presence
 
 
@@ -45,29 +47,37 @@ def test_packing_takes_the_tightest_compatible_bin(seed):
         bins[b][2].add(cluster)
 
 
+def key_of(text):
+    return int(set_keys(*shingle_sets([text.encode()]))[0])
+
+
 def test_words_and_shingles_match_their_definition():
-    text = "A b\tC d\x0be  f\ng A b C d e f G"
+    text = "A b\tC d\x0be  f\ng A b C d e f G"
     words = text.encode().lower().split()
-    hashes = word_hashes(text)
-    assert len(hashes) == len(words)
-    assert len(set(hashes.tolist())) == len(set(words))
     wanted = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
     assert len(shingle_set(text)) == len(wanted)
     assert len(shingle_set("one two")) == 1 and len(shingle_set(" \n")) == 0 and len(shingle_set(None)) == 0
-    assert set_key(shingle_set("x y")) == set_key(shingle_set("X  y")) != set_key(shingle_set("y x"))
+    assert key_of("x y") == key_of("X  y") != key_of("y x")
 
 
-def test_long_texts_are_hashed_in_pieces(monkeypatch):
+def test_texts_taken_together_or_in_pieces_have_the_same_sets(monkeypatch):
     from quern.llm import shingles
 
-    text = " ".join(f"w{i}" for i in range(3000))
-    whole = word_hashes(text)
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in (0, 3000, 1, 4, 5, 0, 6)]
+    found, at = shingle_sets(texts)
+    alone = [shingle_sets([t])[0] for t in texts]
+    assert [found[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [x.tolist() for x in alone]
     monkeypatch.setattr(shingles, "_CHUNK", 100)
-    assert (word_hashes(text) == whole).all()
+    pieces, where = shingle_sets(texts)
+    assert (pieces == found).all() and (where == at).all()
 
 
-@given(st.integers(0, 10_000), st.sampled_from([1, 4, 9, 60, 204, 206, 255, 257, 400, 520, 1100]))
-@settings(max_examples=60, deadline=None)
+def sets_together(*sets):
+    return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+
+
+@given(st.integers(0, 10_000), st.sampled_from([4, 5, 9, 16, 24, 60, 204, 206, 257, 400, 520, 1100, 5000]))
+@settings(max_examples=150, deadline=None)
 def test_linked_sets_share_a_signature(seed, size):
     rng = np.random.default_rng(seed)
     x = np.unique(rng.integers(0, 2**64, size, np.uint64))
@@ -77,21 +87,32 @@ def test_linked_sets_share_a_signature(seed, size):
     new = rng.integers(0, max(1, int(len(left) / 0.8 - len(x)) + 1))
     y = np.unique(np.concatenate([left, rng.integers(0, 2**64, new, np.uint64)]))
     both = len(np.intersect1d(x, y))
-    if 100 * both >= 80 * (len(x) + len(y) - both):
-        assert set(signatures(x, common).tolist()) & set(signatures(y, common).tolist())
-        apart = bits_apart(parity(x), parity(y))
-        assert bits_apart(parity(x, 64, 64), parity(y, 256, 256)) <= len(x) + len(y) - 2 * both
-        assert apart <= len(x) + len(y) - 2 * both
-        assert 9 * apart <= len(x) + len(y)
-
-
-def test_bands():
-    assert bands(204) == [0] and bands(205) == [0, 1] and bands(256) == [1] and bands(819) == [1] and bands(820) == [1, 2] and bands(1023) == [1, 2] and bands(1024) == [2] and bands(4096) == [3]
-
-
-def test_packed_sets():
-    x = shingle_set(" ".join(map(str, range(99))))
-    assert (unpacked(packed(x)) == x >> np.uint64(16) << np.uint64(16)).all() and len(unpacked(b"")) == 0
+    if 100 * both >= 80 * (len(x) + len(y) - both) and len(x) + len(y) > 2 * both:
+        alone = [set(signatures(*sets_together(s), common)[0].tolist()) for s in (x, y)]
+        assert alone[0] & alone[1]
+        sig, own = signatures(*sets_together(x, y, x[:3]), common)
+        assert [set(sig[own == k].tolist()) for k in (0, 1, 2)] == [*alone, set()]
+
+
+def test_bands_hold_partners_in_neighbours():
+    starts = bands(100_000)
+    for size in range(4, 50_000, 7):
+        own, partner = np.searchsorted(starts, [size, size * 5 // 4], side="right")
+        assert partner - own <= 1
+
+
+def test_bounds_keep_linked_pairs():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**64, 600, np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(0, 2**64, gone // 3, np.uint64)])) for gone in (0, 20, 50, 60, 90, 200, 400)]
+    rows = jaccard._Rows(pa.table({"node": range(len(sets)), "root": range(len(sets)), "n": [len(s) for s in sets], "bits": [parity(s) for s in sets]}))
+    near = {(int(x), int(y)) for xs, ys, _ in rows.near() for x, y in zip(xs, ys, strict=True)}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if i != j and 100 * both >= 80 * (len(x) + len(y) - both):
+                assert (i, j) in near
+    assert (0, 6) not in near
 
 
 def test_unfolded_model_equals_the_plain_trie():

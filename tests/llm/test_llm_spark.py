@@ -199,8 +199,12 @@ def brute_groups(rows):
     return [(doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows)]
 
 
-def test_near_groups_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot, block, flush", [(256, 2048, 1 << 19), (3, 4, 1 << 11)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, hot, block, flush):
     rng = np.random.default_rng(4)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
     monkeypatch.setattr(jaccard, "SAMPLE_MOD", 1)
     monkeypatch.setattr(jaccard, "COMMON_AT", 3)
     rows = []
