@@ -89,21 +89,20 @@ def host_lines(df: DataFrame, id_col: str, host: str, text: str) -> DataFrame:
     return rows.select("doc_id", "row_key", "host", "digest", F.explode(one).alias("x")).select("doc_id", "row_key", "host", "digest", "x.line", "x.words")
 
 
-def frequent_lines(df: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = 4, share: float = 0.01) -> DataFrame:
-    """(host, line) to remove. Distinct documents of a common line are dealt by their digests, then counted by task."""
-    held = materialise(host_lines(df, id_col, host, text).select("host", "line", "digest").distinct(), "host-lines")
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = held.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = F.col("docs") > share * F.col("host_docs")
-    return materialise(counts.filter(F.col("docs") > min_docs).join(hosts, "host").filter(above).select("host", "line"), "frequent-lines")
+def frequent_lines(lines: DataFrame, min_docs: int = 4, share: float = 0.01) -> DataFrame:
+    """(host, line) to remove, of rows of ``host_lines``. Documents of a common line are told apart, then counted by task."""
+    held = lines.select("host", "line", "digest").distinct()
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
+    hosts = lines.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    return materialise(counts.join(hosts, "host").filter(F.col("docs") > share * F.col("host_docs")).select("host", "line"), "frequent-lines")
 
 
-def removals(df: DataFrame, frequent: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """(doc_id, row_key, removed_words, removed_lines) of the documents that hold lines of ``frequent``.
 
     ``frequent`` is a written table: adaptive execution broadcasts it below the threshold, else splits the hot lines' partitions.
     """
-    held = host_lines(df, id_col, host, text).drop("digest").join(frequent, ["host", "line"])
+    held = lines.select("doc_id", "row_key", "host", "line", "words").join(frequent, ["host", "line"])
     # Rows repeated in the input have the same key and lines; each line counts once.
     once = held.groupBy("doc_id", "row_key", "line").agg(F.max("words").alias("words"))
     return once.groupBy("doc_id", "row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
@@ -116,7 +115,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", host: str = "source", t
     a null id is an id. Repeated rows get a result each. An empty input gives no rows.
     """
     plain = df.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    gone = removals(plain, frequent_lines(plain, "doc_id", "host", "text", min_docs, share), "doc_id", "host", "text").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "removed_words", "removed_lines")
+    # Lines are split off once, as hashes; both steps on them read this table.
+    lines = materialise(host_lines(plain, "doc_id", "host", "text"), "lines")
+    gone = removals(lines, frequent_lines(lines, min_docs, share)).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "removed_words", "removed_lines")
     # Written, since a caller's filter on the counts would else be pushed into their expressions and evaluate these anew for each word.
     counted = materialise(base_counts(plain.withColumn("row_key", _row_key("doc_id", "host", "text"))).drop("text"), "base-counts")
     both = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left").drop("__id", "__key")
@@ -125,7 +126,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", host: str = "source", t
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The kept rows of ``df`` with all their columns, their texts without the removed lines."""
+    """The kept rows of ``df`` with all their columns, their texts without the removed lines.
+
+    Null texts fail the base rules and go, as do empty ones; a null id or host is a value like others. Of repeated rows all are
+    kept or none. An empty input gives no rows. Names with two leading underscores are reserved for this function.
+    """
     verdict = quality_rules(df, id_col, host, text, **limits).filter("kept").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("__gone")).dropDuplicates(["__id", "__key"])
     held = df.withColumn("__row", _row_key(id_col, host, text)).join(verdict, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__gone", _line_hash(x))), "\n")

@@ -29,14 +29,13 @@ base AS (
 lines AS (
   SELECT doc_id, host, pos, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
-near AS (
-  SELECT *, coalesce(lead(line) OVER w, lag(line) OVER w, '') AS context FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+digests AS (SELECT doc_id, host, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM lines WHERE line <> '' GROUP BY 1, 2),
 held AS (
-  SELECT doc_id, host, line, arg_min(context, pos) AS context, count(*) * (length(any_value(line)) - length(replace(any_value(line), ' ', '')) + 1) AS words
-  FROM near GROUP BY 1, 2, 3),
+  SELECT doc_id, host, line, count(*) * (length(line) - length(replace(line, ' ', '')) + 1) AS words FROM lines WHERE line <> '' GROUP BY 1, 2, 3),
+hosts AS (SELECT host, count(DISTINCT digest) AS host_docs FROM digests GROUP BY 1),
 frequent AS (
-  SELECT host, line FROM held JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY 1) USING (host)
-  GROUP BY host, line, host_docs HAVING count(*) > 4 AND count(*) > 0.01 * host_docs AND 2 * count(DISTINCT context) >= count(*)),
+  SELECT host, line FROM held JOIN digests USING (doc_id, host) JOIN hosts USING (host)
+  GROUP BY host, line, host_docs HAVING count(DISTINCT digest) > 4 AND count(DISTINCT digest) > 0.01 * host_docs),
 gone AS (SELECT doc_id, sum(words) AS n FROM held JOIN frequent USING (host, line) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words,
