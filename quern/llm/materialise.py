@@ -6,11 +6,16 @@ its global slot. Shard k holds the slots from k * per_shard on, each at a fixed
 byte (i % per_shard) * stride of shard i // per_shard without an index, and a reader resumes anywhere.
 
 A task writes its shards whole under a name of its own and then renames them; a repeated or lost task writes the same
-bytes again. The rows that the writer returns are checked against the expected number by the reader, not counted here.
+bytes again, and a shard that stands in the folder with its full length is left as it is, so a run that broke off is
+resumed by the same call. The rows that the writer returns are the manifest; ``write_documents`` writes them beside the shards.
+
+Texts become ids by a byte-level BPE vocabulary. Between single blanks its pieces don't depend on each other, so each
+distinct word is encoded once in a while and a text is a lookup of its words; texts with runs of blanks are encoded whole.
 """
 
 from __future__ import annotations
 
+import base64
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,11 +28,68 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path
+from .common import documents, materialise, shared_path
 from .feistel import permute_array
 
-#: Ids of UTF-8 text as bytes: 0xFF and 0xFE stand in no UTF-8 text, so every id fits a byte.
-BYTE_END, BYTE_PAD = 0xFF, 0xFE
+#: Ranks of a public byte-level BPE (one base64 piece and its id a line), and the pattern that cuts a text for it.
+RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Words whose ids a worker holds at most.
+CACHED = 1 << 18
+
+
+class Words:
+    """Ids (uint16) of texts by a BPE of at most 2**16 - 2 pieces."""
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        pieces = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=pieces, special_tokens={})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.lengths, self.ids, self.used = np.empty(CACHED, np.int64), np.empty(CACHED, np.int64), np.empty(4 * CACHED, np.uint16), 0
+
+    def _learn(self, word: str) -> None:
+        ids = self.bpe.encode_ordinary(word)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        k = len(self.number)
+        self.number[word], self.starts[k], self.lengths[k] = k, self.used, len(ids)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        words = text.split(" ")
+        if "  " in text or len(words) > CACHED:
+            return np.array(self.bpe.encode_ordinary(text), np.uint16)
+        words = [words[0], *[" " + w for w in words[1:]]]
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if len(self.number) + len(new) > CACHED:
+            self._forget()
+            new = list(dict.fromkeys(words))
+        for w in new:
+            self._learn(w)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+
+
+def token_ids(docs: DataFrame, ranks_path: str = RANKS_PATH) -> DataFrame:
+    """(doc_id, ids): ids as little-endian uint16. Null and empty texts have none. Repeated rows are kept; no rows give no rows."""
+    with open(ranks_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value)
+        for batch in batches:
+            ids = [words.encode(x).astype("<u2").tobytes() if x else b"" for x in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -59,7 +121,7 @@ def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: i
 
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
                 value = ids.as_buffer() if binary and ids.is_valid else ids.values if ids.is_valid else None
-                values = np.empty(0, dtype) if value is None else np.frombuffer(value, np.uint8) if binary else value.to_numpy(zero_copy_only=False).astype(dtype)
+                values = np.empty(0, dtype) if value is None else np.frombuffer(value, dtype) if binary else value.to_numpy(zero_copy_only=False).astype(dtype)
                 count = len(values) // length + 1
                 data = np.append(values, np.array([end], dtype)).tobytes()
                 slot.append(permute_array(np.arange(number, number + count), n, key))
@@ -81,7 +143,7 @@ def _cut(offsets_of: dict[int, int], expected: dict[int, int], n: int, length: i
     return run
 
 
-def _write(folder: str, per_shard: int, length: int, dtype: str, pad: int, words: bytes):
+def _write(folder: str, per_shard: int, total: int, length: int, dtype: str, pad: int, words: bytes):
     """Unpacks and pads the sequences, writes each shard of a partition that is sorted by slot; returns where each sequence stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +152,12 @@ def _write(folder: str, per_shard: int, length: int, dtype: str, pad: int, words
         shard, sink, name = None, None, ""
         unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         blank = np.full(length, pad, dtype).tobytes()
+        final = lambda k: f"{root}/shard-{k:08d}.bin"
 
         def close() -> None:
             if sink is not None:
                 sink.close()
-                files.move(name, f"{root}/shard-{shard:08d}.bin")
+                files.move(name, final(shard))
 
         try:
             for batch in batches:
@@ -104,11 +167,14 @@ def _write(folder: str, per_shard: int, length: int, dtype: str, pad: int, words
                 for s, payload in zip(shards.tolist(), batch["payload"], strict=True):
                     if s != shard:
                         close()
-                        shard, name = s, f"{root}/.{s}-{uuid.uuid4().hex}"
-                        sink = files.open_output_stream(name)
+                        shard, name, sink = s, f"{root}/.{s}-{uuid.uuid4().hex}", None
+                        there = files.get_file_info(final(s))
+                        if there.type != fs.FileType.File or there.size != min(per_shard, total - s * per_shard) * len(blank):
+                            sink = files.open_output_stream(name)
                     buffer = unpacker.decompress(payload.as_buffer())
                     buffer += blank[len(buffer) :]
-                    sink.write(buffer)
+                    if sink is not None:
+                        sink.write(buffer)
                     crc.append(zlib.crc32(buffer))
                 yield pa.RecordBatch.from_pydict(
                     {c: batch[c] for c in ("doc_id", "seq", "n_ids", "slot")} | {"shard": pa.array(shards, pa.int64()), "row": pa.array(slots % per_shard, pa.int64()), "crc32": pa.array(crc, pa.int64())}
@@ -137,7 +203,7 @@ def _dictionary(ids: DataFrame, dtype: str, rows: int = 1000, each: int = 2048)
 def write_shards(df: DataFrame, id_col: str, ids: Column, count: Column, folder: str, length: int, per_shard: int, dtype: str = "uint16", end: int = 1, pad: int = 0, key: int = 20240229) -> DataFrame:
     """Write the sequences of ``df`` to ``folder``; rows (doc_id, seq, n_ids, slot, shard, row, crc32), one a sequence.
 
-    ``ids``: array of int or binary column (each byte an id); ``count``: the number of ids, computed by Spark alone, so
+    ``ids``: array of int or binary column (ids as ``dtype``); ``count``: the number of ids, computed by Spark alone, so
     that sequences are counted without making them. ``df`` must be read from files: its partitions are visited
     twice and must hold the same rows each time; each task checks this and fails otherwise. Null ids count
     as none: one sequence with the end id. Repeated rows are written each. An empty input writes no shard. The text goes
@@ -157,7 +223,7 @@ def write_shards(df: DataFrame, id_col: str, ids: Column, count: Column, folder:
     shards = max(1, -(-total // per_shard))
     shard = F.expr(f"cast(slot div {int(per_shard)} as int)")
     dealt = sequences.repartitionById(shards, shard) if total else sequences
-    return dealt.sortWithinPartitions("slot").mapInArrow(_write(folder, per_shard, length, dtype, pad, words), "doc_id long, seq long, n_ids long, slot long, shard long, row long, crc32 long")
+    return dealt.sortWithinPartitions("slot").mapInArrow(_write(folder, per_shard, total, length, dtype, pad, words), "doc_id long, seq long, n_ids long, slot long, shard long, row long, crc32 long")
 
 
 def read_shards(folder: str, length: int, per_shard: int, dtype: str = "uint16", start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
@@ -176,10 +242,16 @@ def read_shards(folder: str, length: int, per_shard: int, dtype: str = "uint16",
         shard, skip = shard + 1, 0
 
 
-def write_documents(docs: DataFrame, folder: str, length: int = 512, per_shard: int = 32_768, key: int = 20240229) -> DataFrame:
-    """Documents as byte ids (uint8) with their end and padding ids."""
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return write_shards(docs, "doc_id", text, F.octet_length(text), folder, length, per_shard, "uint8", BYTE_END, BYTE_PAD, key)
+def write_documents(docs: DataFrame, folder: str, length: int = 512, per_shard: int = 32_768, key: int = 20240229, ranks_path: str = RANKS_PATH) -> DataFrame:
+    """Write documents as token ids (uint16) with the two ids after the vocabulary's last as end and padding; the rows of ``write_shards``.
+
+    Shards and manifest are written once, by this call; what is returned reads the manifest. Columns other than doc_id and text don't
+    matter, whatever their names.
+    """
+    ids = materialise(token_ids(docs, ranks_path), "token-ids")
+    with open(ranks_path, "rb") as f:
+        last = max(int(line.split()[1]) for line in f if line.strip())
+    return materialise(write_shards(ids, "doc_id", F.col("ids"), F.octet_length("ids") / 2, folder, length, per_shard, "uint16", last + 1, last + 2, key), "shard-manifest")
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

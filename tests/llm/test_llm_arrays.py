@@ -9,15 +9,16 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import ppm
+from quern.llm import jaccard, materialise, ppm
 from quern.llm.feistel import permute_array
-from quern.llm import jaccard
 from quern.llm.jaccard import bands, signatures
 from quern.llm.packing import pack_items
 from quern.llm.sentencepiece_trie import MODEL_PATH, Model, Tokenizer, read_model
 from quern.llm.shingles import parity, set_keys, shingle_set, shingle_sets
 from quern.llm.stringkernel import fit, predict, presence
 
+WORDS = materialise.Words(open(materialise.RANKS_PATH, "rb").read())
+
 
 @given(st.integers(1, 5000), st.integers(0, 2**63))
 @settings(max_examples=60, deadline=None)
@@ -187,3 +188,17 @@ def test_string_kernel_tells_alphabets_apart():
     langs, scores = predict(names, weights, ["ABBA ab!", "xy yx", None, "", "12 ?", "x" * 100_000])
     assert langs[:2] == ["p", "q"] and langs[2:5] == ["und"] * 3 and all(0 <= s <= 1 for s in scores)
     assert predict([], np.zeros((weights.shape[0], 0), np.float32), ["abc"]) == (["und"], [0.0])
+
+
+@given(st.lists(st.sampled_from(["don't", "été", "a", "B9", "x,", "\n", "\n\n", "", " ", "\t", "naïve", "中文字", "1234", "--", "🙂", "end.\n"]), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_ids_by_words_equal_those_of_the_whole_text(parts):
+    for text in (" ".join(parts), "".join(parts)):
+        assert WORDS.encode(text).tolist() == WORDS.bpe.encode_ordinary(text)
+
+
+def test_ids_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(materialise, "CACHED", 4)
+    small = materialise.Words(open(materialise.RANKS_PATH, "rb").read())
+    for text in ("a b c", "d e", "a b c d e f", "a a a", "b c d e"):
+        assert small.encode(text).tolist() == WORDS.bpe.encode_ordinary(text)
