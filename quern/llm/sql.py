@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-from .licenses import ANCHORS, LEAST, TEMPLATES, TERM
+from .licenses import ANCHORS, AROUND, LEAST, MARKS, SPDX, SPDX_TAG, TEMPLATES, TERM
 
 OP8 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -45,6 +45,8 @@ FROM base LEFT JOIN gone USING (doc_id)
 
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
 
+_SPDX_ROWS = ", ".join(f"('{name.lower()}', '{name}')" for name in SPDX)
+
 OP9 = rf"""
 WITH f AS (
   SELECT doc_id, text, CASE
@@ -57,12 +59,21 @@ t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(template, name, body)),
 tt AS (SELECT template, name, term, count(*) AS n FROM (SELECT template, name, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM t) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY 1),
 tw AS (SELECT template, name, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
-low AS (SELECT doc_id, path, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM f),
+low AS (
+  SELECT doc_id, path, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{MARKS}', '', 'g') AS text FROM f),
+par AS (
+  SELECT doc_id, replace(body, chr(10), ' ') AS body FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\n+')) AS body FROM low) WHERE regexp_matches(body, '{ANCHORS}')),
+sen AS (SELECT * FROM (SELECT doc_id, unnest(string_split_regex(body, '[.!?] +')) AS body FROM par) WHERE regexp_matches(body, '{ANCHORS}')),
 b AS (
   SELECT doc_id, row_number() OVER () AS block, body FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS body FROM low
-    UNION ALL SELECT doc_id, text FROM low WHERE path LIKE '%/LICENSE')
+    UNION SELECT doc_id, body FROM par
+    UNION SELECT doc_id, body FROM sen
+    UNION SELECT doc_id, unnest(regexp_extract_all(body, '{AROUND}')) FROM sen
+    UNION SELECT doc_id, text FROM low WHERE path LIKE '%/LICENSE')
   WHERE regexp_matches(body, '{ANCHORS}')),
+ids AS (SELECT * FROM (VALUES {_SPDX_ROWS}) AS v(id, name)),
+tagged AS (SELECT doc_id, name, 1.0 AS score FROM low JOIN ids ON id = regexp_extract(text, '{SPDX_TAG}', 1)),
 x AS (
   SELECT doc_id, block, term, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM t)) + 1) AS x
   FROM (SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(regexp_extract_all(body, '{TERM}')) AS term FROM b) GROUP BY ALL)
@@ -70,7 +81,8 @@ x AS (
 norm AS (SELECT block, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
 s AS (
   SELECT doc_id, name, max(score) AS score FROM (
-    SELECT doc_id, block, template, name, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tw USING (term) JOIN norm USING (block) GROUP BY ALL)
+    SELECT doc_id, name, score FROM (SELECT doc_id, block, template, name, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tw USING (term) JOIN norm USING (block) GROUP BY ALL)
+    UNION ALL SELECT * FROM tagged)
   GROUP BY ALL HAVING max(score) >= {LEAST}),
 own AS (SELECT doc_id, min(name) AS own_license, max(score) AS own_score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM s) WHERE score = top GROUP BY 1),
 dirs AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, own_score FROM f LEFT JOIN own USING (doc_id)),

@@ -356,3 +356,26 @@ def test_license_scan(spark):
     found = {r["path"]: (r["license"], r["license_from"]) for r in got}
     assert found == {"LICENSE": ("MIT", None), "a/b/c.py": ("GPL-3.0", "a"), "a/COPYING": ("GPL-3.0", None), "a/b/d.py": ("CC-BY-NC-4.0", None), "e.py": ("MIT", ""), None: (None, None), "z/license-notes.txt": ("MIT", ""), "z/y.py": ("MIT", "")}
     assert scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_usual_headers_are_found(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"
+    mark = lambda text, m: "\n".join(f"{m} {x}" for x in text.split("\n")) + "\n\ncode()"
+    wanted = {
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+        "GPL-3.0": mark(gpl, "#"),
+        "GPL-2.0": mark(gpl.replace("version 3", "version 2").replace("software:", "software;"), "//"),
+        "LGPL-2.1": "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;",
+        "BSD-2-Clause": "# spdx-license-identifier: BSD-2-Clause",
+        "MIT": mark(mit, "//"),
+        "Apache-2.0": mark(apache, " *"),
+        "CC-BY-SA-4.0": "words before. Licensed under CC BY-SA 4.0. words after",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    }
+    rows = [(k, v) for k, v in wanted.items()] + [("MIT/in-a-line", "We made it for fun and it is Released under the MIT License. Enjoy it as much as we do, and write to us")]
+    none = ["She gave him permission to leave the house under one condition.", "The license of the driver was taken away. He walked home.", "SPDX-License-Identifier: LicenseRef-own", "All rights reserved under copyright law.", "It is under the license.", "copyright 2020 by the author of this file"]
+    rows += [(f"none/{i}", x) for i, x in enumerate(none)]
+    got = {r["path"]: r["own_license"] for r in scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {k: k for k in wanted} | {"MIT/in-a-line": "MIT"} | {f"none/{i}": None for i in range(len(none))}
