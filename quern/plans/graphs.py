@@ -1,4 +1,9 @@
-"""Queries of graph operators on the trade graph: customers' nations order from suppliers' nations, by brand."""
+"""Queries of graph operators on the trade graph, which grows with lineitem, and on the turns of conversations.
+
+Trade: a customer's node leads to the parts that they order, a part's to its suppliers, a supplier's to the customer account
+of the same number. Tags: suppliers define their names and their nations', customers theirs, parts their types; orders refer
+to suppliers and to the customer's nation.
+"""
 
 from __future__ import annotations
 
@@ -10,50 +15,81 @@ from quern.operators.storage import materialise
 from quern.registry import query, table
 
 ITERATIONS = 20
-ENTRIES, SINKS = ["NATION_1", "NATION_4", "NATION_9"], ["NATION_2", "NATION_7", "NATION_15"]
+ENTRIES, SINKS = ["C1", "C4", "S2", "S7"], ["S2", "S9", "C8", "P15"]
 
 TAGS_SQL = """
-l AS (SELECT s.s_nationkey AS def, c.c_nationkey AS ref, p_brand, l_quantity, p_size FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
-      JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
-refs AS (SELECT 'NATION_' || ref AS file, p_brand AS name FROM l WHERE l_quantity < 25),
-defs AS (SELECT DISTINCT 'NATION_' || def AS file, p_brand AS name FROM l WHERE l_quantity >= 49 AND p_size >= 49 AND p_brand > 'Brand#2'),
+l AS (SELECT o_custkey AS c, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+refs AS (SELECT 'C' || c AS file, s_name AS name FROM l JOIN supplier ON s = s_suppkey
+         UNION ALL SELECT 'C' || o_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+         UNION ALL SELECT 'S' || s_suppkey, c_name FROM supplier JOIN customer ON s_suppkey = c_custkey),
+defs AS (SELECT 'S' || s_suppkey AS file, s_name AS name FROM supplier UNION SELECT 'S' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+         UNION SELECT 'C' || c_custkey, c_name FROM customer UNION SELECT 'P' || p_partkey, p_type FROM part),
 counted AS (SELECT file, name, count(*) AS n FROM refs GROUP BY ALL),
 definers AS (SELECT name, count(*) AS definers FROM defs GROUP BY 1),
 multi AS (
   SELECT c.file AS src, d.file AS dst, c.name AS ident,
-         CASE WHEN regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[a-z]') AND length(name) >= 8 THEN 10.0 ELSE 1.0 END
+         CASE WHEN length(name) >= 8 AND (regexp_matches(name, '[A-Z]') AND regexp_matches(name, '[a-z]') OR regexp_matches(name, '[_-]') AND regexp_matches(name, '[a-zA-Z]')) THEN 10.0 ELSE 1.0 END
          * CASE WHEN definers > 5 THEN 0.1 ELSE 1.0 END * sqrt(n) AS weight
   FROM counted c JOIN definers USING (name) JOIN defs d USING (name)
   UNION ALL SELECT file, file, name, 0.1 FROM defs WHERE name NOT IN (SELECT name FROM refs))"""
 EDGES_SQL = """
-flow AS (SELECT 'NATION_' || c.c_nationkey AS src, 'NATION_' || s.s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
-         JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY ALL),
-edges AS (SELECT src, dst, sqrt(n) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n * 37 % 101, dst) AS r FROM flow) WHERE r <= 3)"""
+edges AS MATERIALIZED (
+  SELECT 'C' || o_custkey AS src, 'P' || l_partkey AS dst, sqrt(count(*)) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+  UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, sqrt(count(*)) FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT 'S' || s_suppkey, 'C' || c_custkey, 1.0 FROM supplier JOIN customer ON s_suppkey = c_custkey)"""
+TURNS_SQL = """
+turns AS (SELECT conv_id || ':' || lpad(CAST(turn AS VARCHAR), 3, '0') AS node, conv_id, turn, role FROM conversations),
+edges AS MATERIALIZED (SELECT a.node AS src, b.node AS dst FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND (b.turn = a.turn + 1 OR b.turn > a.turn + 1 AND b.turn <= a.turn + 3 AND a.role = b.role)),
+ends AS (SELECT arg_min(node, turn) AS entry, arg_max(node, turn) AS sink FROM turns GROUP BY conv_id)"""
 
 
-def _nation(column: str):
-    return F.concat(F.lit("NATION_"), F.col(column))
+def _key(letter: str, column: str):
+    return F.concat(F.lit(letter), F.col(column))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
-    return lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(definitions, references): a nation defines the brands that it supplies in bulk and refers to those that it buys in small lots."""
-    lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    refs = lines.filter("l_quantity < 25").select(_nation("c_nationkey").alias("file"), F.col("p_brand").alias("name"))
-    defs = lines.filter("l_quantity >= 49 AND p_size >= 49 AND p_brand > 'Brand#2'").select(_nation("s_nationkey").alias("file"), F.col("p_brand").alias("name"))
-    return defs, refs
+    """(definitions, references) of names by node."""
+    t = lambda name: table(spark, sf_dir, name)
+    supplier, customer, nation = t("supplier").select("s_suppkey", "s_name", "s_nationkey"), t("customer").select("c_custkey", "c_name", "c_nationkey"), t("nation").select("n_nationkey", "n_name")
+    refs = [
+        _lines(spark, sf_dir).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(_key("C", "o_custkey").alias("file"), F.col("s_name").alias("name")),
+        t("orders").select("o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(_key("C", "o_custkey"), "n_name"),
+        supplier.join(customer, F.col("s_suppkey") == F.col("c_custkey")).select(_key("S", "s_suppkey"), "c_name"),
+    ]
+    defs = [
+        supplier.select(_key("S", "s_suppkey").alias("file"), F.col("s_name").alias("name")),
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(_key("S", "s_suppkey"), "n_name"),
+        customer.select(_key("C", "c_custkey"), "c_name"),
+        t("part").select(_key("P", "p_partkey"), "p_type"),
+    ]
+    return defs[0].union(defs[1]).union(defs[2]).union(defs[3]), refs[0].union(refs[1]).union(refs[2])
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): three suppliers of each nation, dealt by a mix of their trade so that the graph is not a star."""
-    flow = _lines(spark, sf_dir).groupBy(_nation("c_nationkey").alias("src"), _nation("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = flow.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.col("n") * 37 % 101, "dst"))).filter("r <= 3")
-    return materialise(ranked.select("src", "dst", F.sqrt("n").alias("weight")), "trade-edges")
+    """(src, dst, weight) of customers, parts and suppliers; every line counts."""
+    n = F.sqrt(F.count(F.lit(1))).alias("weight")
+    ordered = _lines(spark, sf_dir).groupBy(_key("C", "o_custkey").alias("src"), _key("P", "l_partkey").alias("dst")).agg(n)
+    supplied = table(spark, sf_dir, "lineitem").groupBy(_key("P", "l_partkey").alias("src"), _key("S", "l_suppkey").alias("dst")).agg(n)
+    same = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "customer"), F.col("s_suppkey") == F.col("c_custkey"))
+    return materialise(ordered.union(supplied).union(same.select(_key("S", "s_suppkey"), _key("C", "c_custkey"), F.lit(1.0))), "trade-edges")
+
+
+def turn_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) from each turn of a conversation to the next and to those of the same role up to three on; (entry, sink): its first and last turn."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit(":"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("node"), "conv_id", "turn", "role")
+    a, b = turns.alias("a"), turns.alias("b")
+    later = F.col("b.turn") - F.col("a.turn")
+    near = (later == 1) | (later.between(2, 3) & (F.col("a.role") == F.col("b.role")))
+    # A turn meets the three after it at most: the join is on the turn's number, not on the conversation alone.
+    steps = a.withColumn("at", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + 3))).alias("a")
+    edges = steps.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.at") == F.col("b.turn"))).filter(near).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    ends = turns.groupBy("conv_id").agg(F.min_by("node", "turn").alias("entry"), F.max_by("node", "turn").alias("sink")).select("entry", "sink")
+    return materialise(edges, "turn-edges"), ends
 
 
 def nodes_of(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -109,11 +145,12 @@ def _list(names: list[str]) -> str:
 
 
 _REACH = (
-    f"en AS (SELECT * FROM (VALUES {_list(ENTRIES)}) v(node)), si AS (SELECT * FROM (VALUES {_list(SINKS)}) v(node)), "
+    "known AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), "
+    f"en AS (SELECT * FROM (VALUES {_list(ENTRIES)}) v(node) WHERE node IN (SELECT node FROM known)), si AS (SELECT * FROM (VALUES {_list(SINKS)}) v(node) WHERE node IN (SELECT node FROM known)), "
     "fwd AS (SELECT en.node AS entry, dst AS node FROM en JOIN edges ON src = en.node UNION SELECT entry, dst FROM fwd JOIN edges ON src = node), "
     "bwd AS (SELECT si.node AS sink, src AS node FROM si JOIN edges ON dst = si.node UNION SELECT sink, src FROM bwd JOIN edges ON dst = node), "
-    "pr AS (SELECT entry, sink FROM fwd JOIN (SELECT node AS sink FROM si) ON sink = fwd.node), "
-    "hit AS (SELECT f.node FROM fwd f JOIN bwd b ON f.node = b.node JOIN pr ON pr.entry = f.entry AND pr.sink = b.sink)"
+    "pr AS (SELECT en.node AS entry, si.node AS sink FROM en, si WHERE en.node = si.node OR EXISTS (SELECT 1 FROM fwd WHERE fwd.entry = en.node AND fwd.node = si.node)), "
+    "hit AS (SELECT f.node FROM pr JOIN fwd f ON f.entry = pr.entry AND f.node <> pr.entry JOIN bwd b ON b.sink = pr.sink AND b.node = f.node AND b.node <> pr.sink)"
 )
 
 
@@ -136,37 +173,33 @@ def _bfs_sql(depth: int) -> str:
             f"b{i} AS MATERIALIZED (SELECT entry, node, {i} AS depth, row_number() OVER (PARTITION BY entry ORDER BY parent, node) AS place FROM (SELECT entry, dst AS node, min(place) AS parent FROM b{i - 1} JOIN edges ON src = node GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM ({before}) s WHERE s.entry = x.entry AND s.node = x.node))"
         )
     every = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(depth + 1))
-    return f"{', '.join(parts)} SELECT entry, node, depth, position FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY depth, place) AS position FROM ({every})) WHERE position <= 10"
+    return f"{', '.join(parts)} SELECT entry, node, depth, position FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY depth, place) AS position FROM ({every})) WHERE position <= 30"
 
 
 @query("G9_G10_bfs", f"WITH {EDGES_SQL}, {_bfs_sql(8)}")
 def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(trade_edges(spark, sf_dir), nodes_of(spark, ENTRIES), 8, 10)
-
-
-_ENDS = f"ends AS (SELECT e.node AS entry, s.node AS sink FROM (VALUES {_list(ENTRIES)}) e(node), (VALUES {_list(SINKS)}) s(node))"
+    return G.bfs(trade_edges(spark, sf_dir), nodes_of(spark, ENTRIES))
 
 
 @query(
     "G11_simple_paths",
-    f"WITH RECURSIVE {EDGES_SQL}, {_ENDS}, p AS (SELECT entry, sink, [entry] AS path FROM ends WHERE entry <> sink UNION ALL SELECT entry, sink, list_append(path, dst) FROM p JOIN edges ON src = path[-1] WHERE NOT list_contains(path, dst) AND path[-1] <> sink AND len(path) <= 6) "
-    "SELECT entry, sink, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY len(path), path) AS r FROM p WHERE path[-1] = sink) WHERE r <= 5",
+    f"WITH RECURSIVE {TURNS_SQL}, p AS (SELECT entry, sink, [entry] AS path FROM ends WHERE entry <> sink UNION ALL SELECT entry, sink, list_append(path, dst) FROM p JOIN edges ON src = path[-1] WHERE NOT list_contains(path, dst) AND path[-1] <> sink AND len(path) <= 12) "
+    "SELECT entry, sink, array_to_string(path, '>') AS path FROM p WHERE path[-1] = sink",
 )
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five paths by length, then by name, of each pair."""
-    ends = nodes_of(spark, ENTRIES).withColumnRenamed("node", "entry").join(nodes_of(spark, SINKS).withColumnRenamed("node", "sink"))
-    paths = G.simple_paths(trade_edges(spark, sf_dir), ends, 6)
-    order = Window.partitionBy("entry", "sink").orderBy(F.size("path"), "path")
-    return paths.withColumn("r", F.row_number().over(order)).filter("r <= 5").select("entry", "sink", F.array_join("path", ">").alias("path"))
+    """Every path of at most 12 edges from each conversation's first turn to its last."""
+    edges, ends = turn_edges(spark, sf_dir)
+    return G.simple_paths(edges, ends).select("entry", "sink", F.array_join("path", ">").alias("path"))
 
 
 @query(
     "G13_backtrack",
-    f"WITH RECURSIVE {EDGES_SQL}, c AS (SELECT node AS sink, [node] AS path FROM (VALUES {_list(SINKS)}) v(node) UNION ALL SELECT sink, list_prepend(src, path) FROM c JOIN edges ON dst = path[1] WHERE NOT list_contains(path, src) AND len(path) <= 4) "
+    f"WITH RECURSIVE {TURNS_SQL}, c AS (SELECT sink, [sink] AS path FROM ends UNION ALL SELECT sink, list_prepend(src, path) FROM c JOIN edges ON dst = path[1] WHERE NOT list_contains(path, src) AND len(path) <= 8) "
     "SELECT sink, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY len(path) DESC, path) AS r FROM c WHERE len(path) > 1) WHERE r = 1",
 )
 def backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.backtrack(trade_edges(spark, sf_dir), nodes_of(spark, SINKS), 5).select("sink", F.array_join("path", ">").alias("path"))
+    edges, ends = turn_edges(spark, sf_dir)
+    return G.backtrack(edges, ends.select(F.col("sink").alias("node"))).select("sink", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -174,9 +207,16 @@ def backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EDGES_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY 1",
 )
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_edges(spark, sf_dir)
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    return G.degrees(trade_edges(spark, sf_dir))
+
+
+@query(
+    "G1_summary",
+    f"WITH {EDGES_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM n WHERE node IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25)) AS signalled FROM n",
+)
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = table(spark, sf_dir, "part").filter("p_size > 25").select(_key("P", "p_partkey").alias("node"))
+    return G.summary(trade_edges(spark, sf_dir), signals)
 
 
 @query("G2_callers_by_name", "SELECT DISTINCT p_type AS callee, p_brand AS caller FROM part")
@@ -186,11 +226,10 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "G12_noise_filtered_graph",
-    f"WITH {EDGES_SQL} SELECT dst AS src, src AS dst FROM edges WHERE NOT regexp_matches(src, '_1[0-9]$') AND NOT regexp_matches(dst, '_1[0-9]$')",
+    f"WITH {EDGES_SQL} SELECT dst AS src, src AS dst FROM edges WHERE NOT regexp_matches(src, '1[0-9]$') AND NOT regexp_matches(dst, '1[0-9]$')",
 )
 def noise_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = lambda c: ~F.col(c).rlike("_1[0-9]$")
-    return trade_edges(spark, sf_dir).filter(keep("src") & keep("dst")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.without(trade_edges(spark, sf_dir), "1[0-9]$").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 _TOP = (

@@ -140,7 +140,12 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey").join(F.broadcast(high), "p_partkey", "left").withColumn("phase", F.coalesce("phase", F.lit("remaining")))
 
 
-@query("W13_stratified_sample")
+@query(
+    "W13_stratified_sample",
+    "WITH r AS (SELECT doc_id, source, CAST('0x' || substr(md5('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS r, greatest(1, count(*) OVER (PARTITION BY source) * 200 // count(*) OVER ()) AS share FROM r) "
+    "SELECT doc_id, source FROM k ORDER BY CASE WHEN r = 1 THEN 2 WHEN r <= share THEN 1 ELSE 0 END DESC, h, doc_id LIMIT 200",
+)
 def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stratified(table(spark, sf_dir, "documents"), "source", "doc_id", 200).select("doc_id", "source")
 
