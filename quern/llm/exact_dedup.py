@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, shared_path
 
 
+#: Digests of a bucket at most, when the table is made.
+PER_BUCKET = 4_000_000
+
+
 class DigestIndex:
     """Table of one row per digest: (digest, keep_id, group_size), bucketed and sorted by digest.
 
@@ -19,14 +23,25 @@ class DigestIndex:
     since what was released earlier can't be taken back. ``group_size`` is that of the batch.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 24, path: str | None = None):
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, path: str | None = None):
         self.spark, self.table, self.buckets = spark, table or f"quern_digests_{uuid.uuid4().hex}", buckets
         self.path = path or shared_path(spark, "digests")
-        if not spark.catalog.tableExists(self.table):
-            spark.sql(
-                f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
-            )
+
+    def _create(self, digests: int) -> None:
+        """The table, if there is none yet; without a stated number, buckets follow the first batch's number of digests."""
+        if self.spark.catalog.tableExists(self.table):
+            found = [r["data_type"] for r in self.spark.sql(f"DESCRIBE FORMATTED {self.table}").collect() if r["col_name"] == "Num Buckets"]
+            self.buckets = int(found[0])
+            return
+        self.buckets = self.buckets or max(24, -(-digests // PER_BUCKET))
+        self.spark.sql(
+            f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        )
+
+    def drop(self) -> None:
+        """Forget the table; its files are in the shared folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -45,6 +60,7 @@ class DigestIndex:
         groups = materialise(
             ids.groupBy("digest").agg(F.max("doc_id").alias("top_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups"
         )
+        self._create(groups.count())
         new = groups.join(self.read().hint("merge"), "digest", "left_anti").select("digest", F.col("top_id").alias("keep_id"))
         # One file a bucket: the rows are dealt by the hash that the bucketed writer uses.
         (
@@ -56,7 +72,7 @@ class DigestIndex:
             .option("path", self.path)
             .saveAsTable(self.table)
         )
-        places = groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size")
+        places = materialise(groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "digest-places")
         return _join_back(ids, places)
 
 
@@ -80,8 +96,12 @@ def _join_back(ids: DataFrame, places: DataFrame, least: int = 64, parts: int =
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """Decisions for every row of ``docs`` against ``index`` (a new one if none is given)."""
-    return (index or DigestIndex(docs.sparkSession)).add(docs, id_col, text_col)
+    """Decisions for every row of ``docs`` against ``index``, or against a new one that is dropped again."""
+    used = index or DigestIndex(docs.sparkSession)
+    found = used.add(docs, id_col, text_col)
+    if index is None:
+        used.drop()
+    return found
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

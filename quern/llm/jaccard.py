@@ -435,11 +435,11 @@ def _contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, row_hash) for each row of ``df``; every link between different sets is found.
+    """(doc_id, n_shingles, component_id, row_hash, root) for each row of ``df``; every link between different sets is found.
 
     Null texts and texts without words have no shingles and link with nothing, not even each other; their component
     is their own id. A null id is no candidate for the smallest id of a component. Repeated rows are in one
-    component. ``row_hash`` is that of id and text. An empty input gives no rows. Other columns don't matter.
+    component. ``row_hash`` is that of id and text, ``root`` a number of the component (null without shingles). An empty input gives no rows. Other columns don't matter.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_hash"))
     profile = materialise(rows.mapInArrow(_profile, "doc_id long, row_hash long, n long, key long, bits binary"), "profile")
@@ -451,11 +451,22 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         least = least.join(labels, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "least")
         least = materialise(least, "least")
         ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = least.join(ids, "root").select("key", "component_id")
+        least = least.join(ids, "root").select("key", "component_id", "root")
     else:
-        least = least.withColumnRenamed("least", "component_id")
-    found = some.join(materialise(least, "component-ids"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_hash")
-    return found.unionByName(profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_hash"))
+        least = least.select("key", F.col("least").alias("component_id"), F.col("key").alias("root"))
+    found = some.join(materialise(least, "component-ids"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_hash", "root")
+    none = F.lit(None).cast("long").alias("root")
+    return found.unionByName(profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_hash", none))
+
+
+def surplus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_hash) of the rows that go when of each component the row with the smallest id stays, a null id coming last.
+
+    Equal ids are told apart by the hash of id and text, so rows repeated in both stay or go together. Rows without shingles stay.
+    """
+    found = materialise(near_groups(df, id_col, text_col).filter("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash").alias("row")), "near-rows")
+    stays = found.groupBy("root").agg(F.min("row").alias("first"))
+    return found.join(stays, "root").filter("row.row_hash <> first.row_hash").select("row.row_hash")
 
 
 def _members(rows: DataFrame, profile: DataFrame) -> DataFrame:
@@ -531,4 +542,4 @@ def _blocks(held: DataFrame, known: DataFrame) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    return near_groups(documents(spark, sf_dir)).drop("row_hash")
+    return near_groups(documents(spark, sf_dir)).drop("row_hash", "root")
