@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import documents, materialise, ship
 from quern.llm.exact_dedup import dedup_exact
-from quern.llm.jaccard import near_groups
+from quern.llm.jaccard import surplus
 from quern.llm.packing import pack_documents
 from quern.llm.quality import clean
 from quern.llm.stringkernel import identify, train
@@ -31,20 +31,20 @@ def least_score(languages: int) -> float:
     return 1 / languages + LANG_MARGIN * (1 - 1 / languages) if languages > 1 else 0.0
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is among ``kept`` (column doc_id); null is an id like others."""
-    ids = kept.select(F.col("doc_id").alias("__kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their host share."""
+    """Documents that pass the rules, without the lines that too many documents of their host share.
+
+    Null and empty texts fail the rules and go. A null id or source is a value like others. Repeated rows stay or go together.
+    """
     ship(spark)
     return clean(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a null lang gets the predicted one. Learns from the stage's labelled documents."""
+    """Documents in a learned language; a null lang gets the predicted one. Learns from the stage's labelled documents.
+
+    Null texts and those without letters go; so does all, if no document has a language. Repeated rows stay or go together.
+    """
     ship(spark)
     model = train(docs.select("text", "lang"))
     found = identify(docs, model, "text", COLUMNS)
@@ -53,18 +53,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    return _keep(docs, dedup_exact(docs).filter("kept"))
+    """Of equal texts one document, with the largest doc_id; a null id is below all others, a null text equals an empty one.
+
+    Of rows equal in id and text, one stays. Rows to drop are told by id and digest, so a dropped text doesn't come
+    back by the id of another one.
+    """
+    found = materialise(dedup_exact(docs), "exact-decisions")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).distinct()
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    left = docs.select(*COLUMNS, digest.alias("__digest"))
+    left = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text")), "left_anti")
+    # Rows repeated in id and text are found by their number; only those go through a shuffle.
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
+    again = materialise(again, "repeated-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return left.join(again, same, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
+    """Of each group of near-duplicates the document with the smallest doc_id, a null id coming last; documents without words stay."""
     ship(spark)
-    return _keep(docs, near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    return docs.select(*COLUMNS).join(materialise(surplus(docs), "near-surplus"), key == F.col("row_hash"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, length, bin, offset of each piece."""
+    """doc_id, start, length, bin, offset of each piece; see ``pack_documents`` for nulls, ties and repeated rows."""
     ship(spark)
     return pack_documents(docs)
 
