@@ -179,3 +179,40 @@ TYPE_BONUS = {"deserialization": 8, "serialization": 8, "rce": 8, "command_injec
 NOISE_NAMES = [".min.js", ".min.css", "-bundle.js", ".bundle.js", "-min.js"]
 NOISE_DIRS = ["/vendor/", "/vendors/", "/third_party/", "/third-party/"]
 MAX_FILE_SIZE, MAX_MEAN_LINE = 512 * 1024, 200
+
+#: Sinks of Java and JavaScript with their severity.
+JAVA_SINKS = {
+    "exec": "critical",
+    "Runtime.exec": "critical",
+    "ProcessBuilder": "critical",
+    "ProcessBuilder.start": "critical",
+    "Method.invoke": "high",
+    "Class.forName": "medium",
+    "Statement.executeQuery": "high",
+    "Statement.executeUpdate": "high",
+    "Statement.execute": "high",
+    "PreparedStatement.executeQuery": "high",
+    "PreparedStatement.executeUpdate": "high",
+    "PreparedStatement.execute": "high",
+    "InitialContext.lookup": "critical",
+    "Context.lookup": "critical",
+    "FileInputStream": "medium",
+    "FileOutputStream": "medium",
+    "FileReader": "medium",
+    "FileWriter": "medium",
+    "RandomAccessFile": "medium",
+    "Files.readAllBytes": "medium",
+    "Files.newInputStream": "medium",
+    "ObjectInputStream.readObject": "high",
+    "ObjectInputStream.readUnshared": "high",
+    "HttpURLConnection.connect": "high",
+    "URL.openConnection": "high",
+    "URL.openStream": "high",
+    "HttpClient.send": "high",
+    "RestTemplate.exchange": "high",
+    "RestTemplate.postForObject": "high",
+    "WebClient.retrieve": "high",
+    "log.info": "low",
+    "Logger.info": "low",
+}
+JS_SINKS = {"eval": "critical", "innerHTML": "high", "outerHTML": "high", "insertAdjacentHTML": "high", "document.write": "high", "Function": "critical"}

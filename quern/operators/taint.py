@@ -29,21 +29,21 @@ def _sink(call: str, sinks: list[str]) -> str | None:
 
 
 def follow(statements: list[dict], tainted: dict[str, tuple[str, int]], sources: list[str], sinks: list[str]) -> list[tuple]:
-    """(kind, line, call, sink, source, origin line, arguments) of a function's tainted calls; ``tainted``: name to (source, line), grown in place."""
+    """(kind, line, call, sink, source, origin line, arguments) of a function's tainted calls; ``tainted``: name to (source, line), grown in place.
+
+    A target becomes tainted by a source, by a tainted name or a tainted part before a dot of it, or by a tainted name anywhere in the value;
+    nothing makes it clean again. An argument is tainted only as a plain or dotted name.
+    """
     out = []
     for s in statements:
         if s["do"] == "assign":
-            value = s["value"]
-            origin = None
-            if source := _source(value, sources):
-                origin = (source, s["line"])
-            else:
-                for name in [value, *s["names"]]:
-                    if name and (hit := next((tainted[t] for t in tainted if name == t or name.startswith(t + ".")), None)):
-                        origin = hit
-                        break
-            if origin:
-                tainted.update(dict.fromkeys(s["targets"], origin))
+            if source := _source(s["begins"], sources):
+                tainted[s["target"]] = (source, s["line"])
+                continue
+            parts = (s["value"] or "").split(".")
+            ways = [s["value"], *(".".join(parts[:i]) for i in range(1, len(parts))), *s["names"]]
+            if origin := next((tainted[w] for w in ways if w in tainted), None):
+                tainted[s["target"]] = origin
             continue
         args = [a if a in tainted else None for a in s["args"]]
         hits = [a for a in [*args, *(k for k in s["kwargs"] if k in tainted)] if a]

@@ -149,14 +149,6 @@ def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("n_chars % 5 >= 3").select("doc_id", F.when(up.contains("VERIFIED"), "verified").when(up.contains("THE"), "rejected").otherwise("unclear").alias("verdict"))
 
 
-@query("V6_validators", "SELECT l_orderkey, l_linenumber, v.name AS validator, v.p AS priority, CASE v.name WHEN 'execution_context' THEN l_quantity > 5 WHEN 'trust_boundary' THEN l_discount > 0.02 WHEN 'external_reachability' THEN l_tax > 0.01 WHEN 'validation_chain' THEN l_returnflag <> 'A' WHEN 'thread_model' THEN l_linestatus = 'O' ELSE l_linenumber < 5 END AS passed FROM lineitem, (VALUES ('execution_context', 0), ('trust_boundary', 0), ('external_reachability', 0), ('validation_chain', 1), ('thread_model', 1), ('semantic_pattern', 1)) v(name, p)")
-def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each finding and validator."""
-    tests = [("execution_context", 0, F.col("l_quantity") > 5), ("trust_boundary", 0, F.col("l_discount") > 0.02), ("external_reachability", 0, F.col("l_tax") > 0.01), ("validation_chain", 1, F.col("l_returnflag") != "A"), ("thread_model", 1, F.col("l_linestatus") == "O"), ("semantic_pattern", 1, F.col("l_linenumber") < 5)]
-    each = F.array(*[F.struct(F.lit(n).alias("validator"), F.lit(p).alias("priority"), t.alias("passed")) for n, p, t in tests])
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.inline(each))
-
-
 @query("V7_postprocessing", "WITH r AS (SELECT event_id, event_id % 11 AS conf, event_id % 2 = 0 AS vuln, event_type = 'error' AS rebutted, user_id % 3 = 0 AS evidence FROM events), a AS (SELECT event_id, CASE WHEN rebutted THEN least(conf, 3) ELSE conf END AS conf, vuln AND NOT rebutted AS vuln, rebutted, evidence FROM r) SELECT event_id, CASE WHEN evidence THEN greatest(conf, 5) ELSE conf END AS conf, vuln OR evidence AS vuln, rebutted AND NOT evidence AS rebuttal FROM a")
 def postprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adversary first, evidence second: evidence raises a rebutted row again and drops its rebuttal."""
@@ -164,9 +156,3 @@ def postprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = F.when(rebutted, F.least(F.col("event_id") % 11, F.lit(3))).otherwise(F.col("event_id") % 11)
     vuln = (F.col("event_id") % 2 == 0) & ~rebutted
     return table(spark, sf_dir, "events").select("event_id", F.when(evidence, F.greatest(conf, F.lit(5))).otherwise(conf).alias("conf"), (vuln | evidence).alias("vuln"), (rebutted & ~evidence).alias("rebuttal"))
-
-
-@query("V8_rule_hits", "SELECT l_orderkey, l_linenumber, count(p_partkey) AS hits FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25 GROUP BY 1, 2")
-def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("hit"))
-    return table(spark, sf_dir, "lineitem").join(hits, "l_partkey", "left").groupBy("l_orderkey", "l_linenumber").agg(F.count("hit").alias("hits"))

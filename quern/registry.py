@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("classifiers", "graphs", "relations", "ranks", "folds", "code", "reviews"):
+for _module in ("classifiers", "graphs", "relations", "ranks", "folds", "code", "reviews", "sources"):
     importlib.import_module(f"quern.plans.{_module}")

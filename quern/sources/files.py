@@ -122,3 +122,23 @@ def call_graph_markdown(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) ->
     rows = nodes.join(out, "id", "left").join(into, "id", "left").join(ranks.withColumnRenamed("node", "id"), "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", "file", "name", zero("i"), zero("o"), F.format_number(F.coalesce("rank", F.lit(0.0)), 4)), F.lit(" |")).alias("value"))
+
+
+#: Text that asks for a file's functions wherever it stands.
+DANGEROUS_IMPORTS = ["import shelve", "from shelve", "import pickle", "from pickle", "import marshal", "from marshal", "import yaml", "from yaml", "import subprocess", "from subprocess", "import tarfile", "from tarfile", "import zipfile", "from zipfile"]
+
+
+def build_index(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``files`` (path, language, size, source) of an index with ``full``: whether functions are extracted from the file.
+
+    Files in excluded directories, of unknown languages, noise and texts that aren't UTF-8 (null or with replacement marks) are
+    left out. ``wanted``: (path) of the files to extract in full; others are only if they hold a dangerous import. Without it all are.
+    """
+    inside = F.concat(F.lit("(^|/)("), F.lit("|".join(d.replace(".", "\\.") for d in EXCLUDED_DIRS)), F.lit(")/"))
+    known = files.filter(~F.regexp_like("path", inside) & language_of(F.col("path")).isNotNull() & F.col("source").isNotNull() & ~F.col("source").contains("�"))
+    known = known.filter(~C.is_noise_file(F.col("path"), F.col("size"), F.col("source")))
+    if wanted is None:
+        return known.withColumn("full", F.lit(True))
+    asked = wanted.select(F.regexp_replace("path", "^(\\./)+", "").alias("path"), F.lit(True).alias("__asked")).distinct()
+    dangerous = F.exists(F.array(*[F.lit(p) for p in DANGEROUS_IMPORTS]), lambda p: F.col("source").contains(p))
+    return known.join(asked, "path", "left").withColumn("full", F.coalesce("__asked", F.lit(False)) | dangerous).drop("__asked")

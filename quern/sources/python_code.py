@@ -13,58 +13,73 @@ SCHEMA = "file string, kind string, name string, fullname string, line int, end_
 
 
 def dotted(node: ast.AST) -> str | None:
-    """The dotted name of a name or attribute, through calls and subscripts of their own values."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        base = dotted(node.value)
-        return f"{base}.{node.attr}" if base else node.attr
-    if isinstance(node, ast.Call):
-        base = dotted(node.func)
-        return f"{base}(...)" if base else None
-    if isinstance(node, ast.Subscript):
-        base = dotted(node.value)
-        return f"{base}[?]" if base else None
-    return None
+    """The name of a chain of attributes, calls and subscripts on a name: ``a.b(...)[?]``. Nothing for chains on other expressions."""
+    ends: list[str] = []
+    while not isinstance(node, ast.Name):
+        if isinstance(node, ast.Attribute):
+            ends.append("." + node.attr)
+            node = node.value
+        elif isinstance(node, ast.Call):
+            ends.append("(...)")
+            node = node.func
+        elif isinstance(node, ast.Subscript):
+            ends.append("[?]")
+            node = node.value
+        else:
+            return None
+    return node.id + "".join(reversed(ends))
 
 
 def plain(node: ast.AST) -> str | None:
     """A plain or dotted name, else nothing."""
-    return dotted(node) if isinstance(node, ast.Name | ast.Attribute) else None
+    name = dotted(node)
+    return name if name and name.replace(".", "").isidentifier() else None
 
 
-def _names(node: ast.AST) -> list[str]:
-    return sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name)} | {x for n in ast.walk(node) if isinstance(n, ast.Attribute) and (x := dotted(n))})
+def _begins(node: ast.AST) -> str | None:
+    """The chain that an expression begins with: that of the leftmost operand, if the others have a text as well."""
+    while isinstance(node, ast.BinOp):
+        if _begins(node.right) is None and not isinstance(node.right, ast.Constant | ast.List | ast.Dict | ast.Tuple):
+            return None
+        node = node.left
+    return dotted(node)
 
 
 def statements(body: list[ast.stmt]) -> list[dict]:
-    """A function's statements in one pass: assignments, and the calls inside each statement in source order. Branches and loops are walked once, one after the other."""
+    """A function's statements in one ordered pass: assignments, and calls that are a statement or the whole value of a plain assignment.
+
+    Branches and loops are walked once, one after the other. Returns, tests, iterables and calls inside other
+    expressions are not looked at.
+    """
     out: list[dict] = []
 
-    def calls(node: ast.AST) -> None:
-        for n in sorted((n for n in ast.walk(node) if isinstance(n, ast.Call)), key=lambda n: (n.lineno, n.col_offset)):
-            name = dotted(n.func)
-            if name:
-                out.append({"do": "call", "line": n.lineno, "call": name, "args": [plain(a) for a in n.args], "kwargs": [plain(k.value) for k in n.keywords]})
+    def call(node: ast.AST) -> None:
+        name = plain(node.func) if isinstance(node, ast.Call) else None
+        if name:
+            out.append({"do": "call", "line": node.lineno, "call": name, "args": [plain(a) for a in node.args], "kwargs": [plain(k.value) for k in node.keywords]})
+
+    def assign(target: ast.AST, value: ast.AST) -> None:
+        if name := plain(target):
+            names = [n.id for n in ast.walk(value) if isinstance(n, ast.Name)]
+            out.append({"do": "assign", "line": target.lineno, "target": name, "begins": _begins(value), "value": plain(value), "names": names})
 
     def walk(stmts: list[ast.stmt]) -> None:
         for s in stmts:
-            if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                continue
-            blocks = [getattr(s, name, []) for name in ("body", "orelse", "finalbody")] + [h.body for h in getattr(s, "handlers", [])]
-            if any(blocks):
-                for name in ("test", "iter"):
-                    if part := getattr(s, name, None):
-                        calls(part)
-                for block in blocks:
-                    walk(block)
-                continue
-            value = getattr(s, "value", None)
-            if value is not None:
-                calls(value)
-            targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign | ast.AugAssign) else []
-            if targets and value is not None:
-                out.append({"do": "assign", "line": s.lineno, "targets": [t for x in targets if (t := plain(x))], "value": dotted(value), "names": _names(value)})
+            if isinstance(s, ast.Assign):
+                call(s.value)
+                for target in s.targets:
+                    assign(target, s.value)
+            elif isinstance(s, ast.AnnAssign | ast.AugAssign):
+                if s.value is not None:
+                    assign(s.target, s.value)
+            elif isinstance(s, ast.Expr):
+                call(s.value)
+            elif isinstance(s, ast.If | ast.For | ast.AsyncFor | ast.While | ast.With | ast.AsyncWith | ast.Try | ast.TryStar):
+                walk(s.body)
+                for h in getattr(s, "handlers", []):
+                    walk(h.body)
+                walk(getattr(s, "orelse", []))
+                walk(getattr(s, "finalbody", []))
 
     walk(body)
     return out

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify as C
 from quern.functions import scalars as S
-from quern.operators import folds, graph, joins, ranking
-from quern.sources import files, python_code
+from quern.operators import folds, graph, joins, ranking, taint
+from quern.sources import files, python_code, syntax
 
 
 def rows(df):
@@ -166,3 +166,65 @@ def test_stores(spark, tmp_path):
     findings = spark.createDataFrame([("high", "x"), ("low", "y"), ("high", "z")], "severity string, title string")
     files.write_report(findings, str(tmp_path / "out"))
     assert rows(spark.read.json(str(tmp_path / "out" / "summary")).select("severity", "n")) == [("high", 2), ("low", 1)]
+
+
+def test_attack_scores_on_cycles_and_equal_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    score = lambda entries, sinks, ends: {r["node"]: r["score"] for r in graph.attack_scores(edges, one(*entries), one(*sinks), ends).collect()}
+    assert score(["a"], ["c"], True) == {"a": 500, "b": 500, "c": 500}
+    assert score(["a"], ["c"], False) == {"b": 500}
+    assert score(["a"], ["a"], True) == {"a": 1000, "b": 500}
+    assert score(["c"], ["c"], True) == {"c": 1000} and score(["c"], ["a"], True) == {}
+    assert score(["x"], ["x"], True) == {}
+
+
+def test_percentile_of_many_values(spark):
+    df = spark.range(0, 1001, 1, 7).selectExpr("cast(id * 37 % 1001 as double) AS v").repartition(5)
+    assert rows(ranking.percentile_at(df, "v", [80, 40, 0, 100])) == [(800.0, 400.0, 0.0, 1000.0)]
+    assert ranking.percentile_at(df.filter("v < 0"), "v", [80]).count() == 0
+
+
+def test_explore_slots(spark):
+    data = [(i, "k" if i < 5 else "l", f"key{i}", False, float(20 - i), 2 if i in (9, 11) else 0) for i in range(12)]
+    df = spark.createDataFrame(data, "id int, kind string, key string, known boolean, score double, n int")
+    got = ranking.guarded_top_k(df, "kind", "key", "known", "score", "id", 6, 3, "n").orderBy("slot", "place").collect()
+    assert [r["id"] for r in got if r["slot"] == "exploit"] == [0, 5, 1, 2, 3, 4]
+    assert [r["id"] for r in got if r["slot"] == "explore"] == [9, 11, 2]
+
+
+def test_stratified_sample_has_its_size(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else f"s{min(i % 7, 2)}") for i in range(500)], "id long, s string")
+    got = ranking.stratified(df, "s", "id", 60).collect()
+    assert len(got) == 60 and {r["s"] for r in got} == {None, "s0", "s1", "s2"}
+    assert len({r["id"] for r in got}) == 60
+    assert ranking.stratified(df, "s", "id", 900).count() == 500
+    many = spark.range(0, 300).selectExpr("id", "cast(id as string) AS s")
+    assert ranking.stratified(many, "s", "id", 50).count() == 50
+
+
+def test_calls_that_are_not_statements_give_no_path(spark):
+    source = "def f(a):\n    x = input()\n    if eval(x):\n        pass\n    print(eval(x))\n    return eval(x)\n\ndef g(a):\n    x = input()\n    y = eval(x)\n    z = x + 'tail'\n    eval(z)\n    getattr(x, 'n')().eval(x)\n"
+    files = spark.createDataFrame([("a.py", source)], "path string, source string")
+    got = taint.taint_paths(python_code.parse(files)).collect()
+    assert sorted(r["line"] for r in got) == [10, 12]
+
+
+def test_structural_queries():
+    tree = syntax.tree("class K:\n    @wrap\n    def f(self, a):\n        os.system(f'é{a}', shell=False)\n")
+    found = lambda q: [{k: [n.text for n in v] for k, v in f.items()} for f in syntax.matches(syntax.compiled(q), tree)]
+    assert found("(call function: (attribute object: (identifier) @o attribute: (identifier) @m)) @c") == [{"o": ["os"], "m": ["system"], "c": ["os.system(f'é{a}', shell=False)"]}]
+    assert found("(keyword_argument name: (identifier) @k value: [(true) (false)] @v)") == [{"k": ["shell"], "v": ["False"]}]
+    assert found('(function_definition name: (identifier) @n (#match? @n "^g"))') == []
+    assert found("(decorated_definition (decorator (identifier) @d) . (function_definition name: (_) @n))") == [{"d": ["wrap"], "n": ["f"]}]
+    for bad in ("(call", "call)", '(#eq? @a "b")'):
+        with pytest.raises((ValueError, IndexError)):
+            syntax.compiled(bad)
+
+
+def test_index_takes_wanted_and_dangerous_files(spark):
+    data = [("a.py", 5, "x = 1"), ("b.py", 5, "import pickle"), ("dist/c.py", 5, "x"), ("d.txt", 5, "x"), ("e.py", 5, None), ("f.js", 5, "let a"), (None, 5, "x")]
+    df = spark.createDataFrame(data, "path string, size long, source string")
+    wanted = spark.createDataFrame([("./f.js",), ("./f.js",)], "path string")
+    assert rows(files.build_index(df, wanted).select("path", "full").orderBy("path")) == [("a.py", False), ("b.py", True), ("f.js", True)]
+    assert rows(files.build_index(df).select("full").distinct()) == [(True,)]
