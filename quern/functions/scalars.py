@@ -81,3 +81,23 @@ def chunk_size(mean_tokens: Column, pressure: Column, seconds: Column, large: Co
 def body_hash(code: Column) -> Column:
     """Key of a function's text: its first 200 characters without comments and blanks."""
     return F.md5(F.regexp_replace(F.regexp_replace(F.substring(code, 1, 200), "(?m)#.*$", ""), r"(?U)\s+", "").cast("binary"))
+
+
+#: Code in back quotes, else in single or double ones from ten characters on.
+HINTS = ["`([^`]+)`", "'([^']{10,})'", '"([^"]{10,})"']
+
+
+def code_hint(text: Column) -> Column:
+    """The longest quoted piece of the first sort of quotes that has any, the first of equal length; null without one."""
+    longest = []
+    for pattern in HINTS:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        best = F.aggregate(found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+        longest.append(F.when(best != "", best))
+    return F.coalesce(*longest)
+
+
+def fuzzy_match(hint: Column, text: Column) -> Column:
+    """Whether six in ten of the hint's distinct names of three letters and more stand in the text; false without any, and for nulls."""
+    tokens = F.array_distinct(F.regexp_extract_all(hint, F.lit("[a-zA-Z_][a-zA-Z0-9_]{2,}"), F.lit(0)))
+    return F.coalesce((F.size(tokens) > 0) & (F.size(F.filter(tokens, lambda k: text.contains(k))) >= 0.6 * F.size(tokens)), F.lit(False))

@@ -230,10 +230,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "X7_signal_confidence",
-    "SELECT user_id, round(count(*) * 0 + CASE WHEN count(*) >= 5 THEN 80 * 1.0 WHEN count(*) >= 2 THEN 80 * 0.7 ELSE 80 * 0.3 END, 6) AS confidence FROM events WHERE event_type = 'error' AND event_id % 4 = 0 GROUP BY 1",
+    "SELECT user_id, round(count(*) * 0 + CASE WHEN count(*) >= 5 THEN 80 * 1.0 WHEN count(*) >= 2 THEN 80 * 0.7 ELSE 80 * 0.3 END, 6) AS confidence FROM events WHERE event_type = 'error' GROUP BY 1",
 )
 def signal_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "events").filter("event_type = 'error' AND event_id % 4 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = table(spark, sf_dir, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     return hits.select("user_id", F.round(S.signal_confidence(F.col("n"), F.lit(80.0)), 6).alias("confidence"))
 
 

@@ -142,11 +142,11 @@ def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("check_result", check).select("doc_id", "check_result", status.alias("status"))
 
 
-@query("V4_cross_model", "SELECT doc_id, CASE WHEN contains(upper(text), 'VERIFIED') THEN 'verified' WHEN contains(upper(text), 'THE') THEN 'rejected' ELSE 'unclear' END AS verdict FROM documents WHERE n_chars % 5 >= 3")
+@query("V4_cross_model", "SELECT doc_id, CASE WHEN contains(upper(text), 'VERIFIED') THEN 'verified' WHEN contains(upper(text), 'THE') THEN 'rejected' ELSE 'unclear' END AS verdict FROM documents")
 def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of a response by the first word found in it; only for severe findings."""
+    """Verdict of a response by the first word found in it."""
     up = F.upper("text")
-    return table(spark, sf_dir, "documents").filter("n_chars % 5 >= 3").select("doc_id", F.when(up.contains("VERIFIED"), "verified").when(up.contains("THE"), "rejected").otherwise("unclear").alias("verdict"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(up.contains("VERIFIED"), "verified").when(up.contains("THE"), "rejected").otherwise("unclear").alias("verdict"))
 
 
 @query("V7_postprocessing", "WITH r AS (SELECT event_id, event_id % 11 AS conf, event_id % 2 = 0 AS vuln, event_type = 'error' AS rebutted, user_id % 3 = 0 AS evidence FROM events), a AS (SELECT event_id, CASE WHEN rebutted THEN least(conf, 3) ELSE conf END AS conf, vuln AND NOT rebutted AS vuln, rebutted, evidence FROM r) SELECT event_id, CASE WHEN evidence THEN greatest(conf, 5) ELSE conf END AS conf, vuln OR evidence AS vuln, rebutted AND NOT evidence AS rebuttal FROM a")

@@ -47,7 +47,7 @@ def defs_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J5_call_resolution",
-    "WITH f AS (SELECT 'mod.' || p_brand || '.' || p_partkey AS qname, p_partkey AS ordinal FROM part), c AS (SELECT event_id AS call_id, 'mod' AS scope, CASE event_id % 5 WHEN 0 THEN 'mod.' || p_brand || '.' || p_partkey WHEN 1 THEN p_brand || '.' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'np.' || event_type ELSE 'print' END AS name FROM events JOIN part ON p_partkey = 1 + event_id % 150), "
+    "WITH f AS (SELECT 'mod.' || p_brand || '.' || p_partkey AS qname, p_partkey AS ordinal FROM part), c AS (SELECT event_id AS call_id, 'mod' AS scope, CASE event_id % 5 WHEN 0 THEN 'mod.' || p_brand || '.' || p_partkey WHEN 1 THEN p_brand || '.' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'np.' || event_type ELSE 'print' END AS name FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)), "
     "w AS (SELECT call_id, 1 AS p, ordinal, qname AS target, 'exact' AS how FROM c JOIN f ON name = qname UNION ALL SELECT call_id, 2, ordinal, qname, 'scope' FROM c JOIN f ON scope || '.' || name = qname UNION ALL SELECT call_id, 3, ordinal, qname, 'suffix' FROM c JOIN f ON ends_with(qname, '.' || name) UNION ALL SELECT call_id, 4, 0, 'numpy' || substr(name, 3), 'import' FROM c WHERE starts_with(name, 'np.') UNION ALL SELECT call_id, 5, 0, name, 'builtin' FROM c WHERE name = 'print') "
     "SELECT call_id, target, how FROM c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY p, ordinal) AS r FROM w) USING (call_id) WHERE r = 1 OR r IS NULL",
 )
@@ -57,7 +57,7 @@ def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.col("event_id") % 5
     name = F.when(which == 0, F.concat(F.lit("mod."), "p_brand", F.lit("."), "p_partkey")).when(which == 1, F.concat("p_brand", F.lit("."), "p_partkey")).when(which == 2, F.col("p_partkey").cast("string")).when(which == 3, F.concat(F.lit("np."), "event_type")).otherwise(F.lit("print"))
     events = table(spark, sf_dir, "events")
-    calls = events.join(part, F.col("p_partkey") == 1 + F.col("event_id") % 150).select(F.col("event_id").alias("call_id"), F.lit("f").alias("file"), F.lit("mod").alias("scope"), name.alias("name"))
+    calls = events.join(part, F.col("p_partkey") == F.col("event_id") % part.count()).select(F.col("event_id").alias("call_id"), F.lit("f").alias("file"), F.lit("mod").alias("scope"), name.alias("name"))
     imports = spark.createDataFrame([("f", "np", "numpy")], "file string, alias string, module string")
     return J.resolve_calls(calls, functions, imports, ["print", "len"])
 
