@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
+from quern.operators import aggregates as A
+from quern.operators import checks as K
 from quern.operators import folds as O
+from quern.operators import selection as L
 from quern.registry import query, table
 
 
@@ -98,35 +101,31 @@ def failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("Q4_Q5_stages", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN 'collect' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'verify' WHEN count(*) FILTER (o_totalprice > 200000) = 0 AND count(*) FILTER (o_totalprice < 50000) > 0 THEN 'second round' ELSE 'report' END AS stage FROM orders GROUP BY 1")
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which stage may run: by what the earlier ones have left; a second round only if the first found nothing and doubtful rows remain."""
-    n = F.count_if
-    stage = F.when(n(F.col("o_orderstatus") == "P") == 0, "collect").when(n(F.col("o_orderstatus") == "F") == 0, "verify").when((n(F.col("o_totalprice") > 200000) == 0) & (n(F.col("o_totalprice") < 50000) > 0), "second round").otherwise("report")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(stage.alias("stage"))
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    return L.stage_of(table(spark, sf_dir, "orders"), "o_custkey", status == "P", status == "F", price > 200000, price < 50000)
 
 
 @query("Q6_changed_files", "SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages o WHERE o.url = p.url AND o.page_id < p.page_id AND length(o.html) = length(p.html))")
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files not in the snapshot under their path and stamp: of equal ones the first is new."""
-    return table(spark, sf_dir, "pages").groupBy("url", F.length("html").alias("stamp")).agg(F.min("page_id").alias("page_id")).select("page_id")
+    return L.first_versions(table(spark, sf_dir, "pages"), "url", F.length("html"), "page_id")
 
 
 @query("Q7_repeated_patterns", "SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, event_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events) GROUP BY ALL) GROUP BY 1")
 def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of equal steps of each agent (user)."""
-    at = Window.partitionBy("user_id").orderBy("event_id")
-    new = F.coalesce(F.col("event_type") != F.lag("event_type").over(at), F.lit(True))
-    runs = table(spark, sf_dir, "events").select("user_id", "event_id", new.cast("int").alias("new")).withColumn("run", F.sum("new").over(at))
-    return runs.groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"))
+    return A.longest_runs(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
 @query("A8_quota", "SELECT event_id, round(sum(value) OVER w, 4) AS spent, sum(value) OVER w >= 1000 AS exhausted FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = F.sum("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(spent, 4).alias("spent"), (spent >= 1000).alias("exhausted"))
+    found = A.running_quota(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1000)
+    return found.select("event_id", F.round("spent", 4).alias("spent"), "exhausted")
 
 
 @query("V2_line_check", "SELECT doc_id, doc_id % 40 BETWEEN 1 AND len(string_split(text, chr(10))) AS valid FROM documents")
 def line_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).between(F.lit(1), F.size(F.split("text", "\n"))).alias("valid"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.line_exists(F.col("doc_id") % 40, F.col("text")).alias("valid"))
 
 
 _V = "WITH f AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS static, l.quality = 1 AS same_line, d.n_chars % 5 AS sev, coalesce(l.toxic, 0) AS smax FROM documents d LEFT JOIN labels l USING (doc_id)), c AS (SELECT *, CASE WHEN NOT static THEN 'skipped' WHEN same_line THEN 'agree' WHEN sev >= 4 AND smax <= 0 THEN 'contradiction' ELSE 'uncertain' END AS check_result FROM f) "
@@ -137,22 +136,18 @@ def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against static results: none, same line, strong finding against weak ones; then the final status."""
     labels = table(spark, sf_dir, "labels").withColumn("hit", F.lit(True))
     f = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
-    check = F.when(F.col("hit").isNull(), "skipped").when(F.col("quality") == 1, "agree").when((F.col("n_chars") % 5 >= 4) & (F.coalesce("toxic", F.lit(0)) <= 0), "contradiction").otherwise("uncertain")
-    status = F.when(F.col("check_result") == "contradiction", "uncertain").when(F.col("doc_id") % 3 != 0, "verified").otherwise("uncertain")
-    return f.withColumn("check_result", check).select("doc_id", "check_result", status.alias("status"))
+    check = K.static_check(F.col("hit").isNotNull(), F.col("quality") == 1, F.col("n_chars") % 5, F.col("toxic"))
+    return f.withColumn("check_result", check).select("doc_id", "check_result", K.final_status(F.col("check_result"), F.col("doc_id") % 3 != 0).alias("status"))
 
 
 @query("V4_cross_model", "SELECT doc_id, CASE WHEN contains(upper(text), 'VERIFIED') THEN 'verified' WHEN contains(upper(text), 'THE') THEN 'rejected' ELSE 'unclear' END AS verdict FROM documents")
 def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of a response by the first word found in it."""
-    up = F.upper("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(up.contains("VERIFIED"), "verified").when(up.contains("THE"), "rejected").otherwise("unclear").alias("verdict"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.first_word(F.col("text"), [("VERIFIED", "verified"), ("THE", "rejected")]).alias("verdict"))
 
 
 @query("V7_postprocessing", "WITH r AS (SELECT event_id, event_id % 11 AS conf, event_id % 2 = 0 AS vuln, event_type = 'error' AS rebutted, user_id % 3 = 0 AS evidence FROM events), a AS (SELECT event_id, CASE WHEN rebutted THEN least(conf, 3) ELSE conf END AS conf, vuln AND NOT rebutted AS vuln, rebutted, evidence FROM r) SELECT event_id, CASE WHEN evidence THEN greatest(conf, 5) ELSE conf END AS conf, vuln OR evidence AS vuln, rebutted AND NOT evidence AS rebuttal FROM a")
 def postprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adversary first, evidence second: evidence raises a rebutted row again and drops its rebuttal."""
-    rebutted, evidence = F.col("event_type") == "error", F.col("user_id") % 3 == 0
-    conf = F.when(rebutted, F.least(F.col("event_id") % 11, F.lit(3))).otherwise(F.col("event_id") % 11)
-    vuln = (F.col("event_id") % 2 == 0) & ~rebutted
-    return table(spark, sf_dir, "events").select("event_id", F.when(evidence, F.greatest(conf, F.lit(5))).otherwise(conf).alias("conf"), (vuln | evidence).alias("vuln"), (rebutted & ~evidence).alias("rebuttal"))
+    after = K.rebutted(F.col("event_id") % 11, F.col("event_id") % 2 == 0, F.col("event_type") == "error", F.col("user_id") % 3 == 0)
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(k) for k, c in after.items()])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import tables as T
 from quern.operators import ranking as R
-from quern.operators.joins import first_rows
+from quern.operators import selection as L
 from quern.registry import query, table
 
 from .classifiers import pick, sql_case, sql_list, sql_text
@@ -109,35 +109,23 @@ def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates of each entry file, up to half the cap; then the best others; then those in tests."""
     score = F.get(F.array(*[F.lit(5 - i) for i in range(5)]), (F.col("p_partkey") % 5).cast("int")) * (1 + F.col("p_size") % 3) + F.get(F.array(F.lit(8), F.lit(7), F.lit(5), F.lit(0)), (F.col("p_partkey") % 4).cast("int"))
     c = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), score.alias("score"), (F.col("p_size") > 45).alias("test"))
-    order = [F.desc("score"), "p_partkey"]
-    entry = first_rows(c.filter("NOT test AND file < 'Brand#2'"), ["file"], order, 2).orderBy(*order).limit(15).withColumn("stage", F.lit(0))
-    # Each stage gives its best 30 at most, so the last ranking is over 75 rows.
-    rest = c.filter("NOT test").join(entry.select("p_partkey"), "p_partkey", "left_anti").orderBy(*order).limit(30).withColumn("stage", F.lit(1))
-    tests = c.filter("test").orderBy(*order).limit(30).withColumn("stage", F.lit(2))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stage", *order))
-    both = entry.select(rest.columns).unionByName(rest).unionByName(tests)
-    return both.withColumn("place", place).filter("place <= 30").select("p_partkey", "file", "score", "place")
+    return L.prune(c, "p_partkey", "file", [F.desc("score"), "p_partkey"], F.col("file") < "Brand#2", F.col("test")).select("p_partkey", "file", "score", "place")
 
 
 @query("W10_two_level_cap", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'error'), b AS (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS k FROM a WHERE r <= 5) SELECT event_id, user_id FROM b WHERE k <= 30")
 def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_rows(table(spark, sf_dir, "events").filter("event_type = 'error'"), ["user_id"], [F.desc("value"), "event_id"], 5)
-    return rows.orderBy(F.desc("value"), "event_id").limit(30).select("event_id", "user_id")
+    return L.capped(table(spark, sf_dir, "events").filter("event_type = 'error'"), "user_id", [F.desc("value"), "event_id"], 5, 30).select("event_id", "user_id")
 
 
 @query("W11_first_by_severity", "SELECT l_orderkey, l_returnflag, arg_min(l_linenumber, (CASE l_shipmode WHEN 1 THEN 0 ELSE 1 END, l_linenumber)) AS l_linenumber FROM (SELECT *, l_linenumber % 2 AS l_shipmode FROM lineitem) GROUP BY 1, 2")
 def by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    worst = F.struct(F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(1), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.min_by("l_linenumber", worst).alias("l_linenumber"))
+    return L.first_by_severity(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(1), "l_linenumber")
 
 
 @query("W12_phase_split", "WITH s AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part) SELECT p_partkey, CASE WHEN r <= greatest(20, least(200, CAST(floor(n * 0.3) AS BIGINT))) THEN 'high' ELSE 'remaining' END AS phase FROM s")
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first max(20, min(200, 30 %)) files: 200 at most, so they are found by a bounded top-k."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    n = max(20, min(200, int(part.count() * 0.3)))
-    high = part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(n).select("p_partkey", F.lit("high").alias("phase"))
-    return part.select("p_partkey").join(F.broadcast(high), "p_partkey", "left").withColumn("phase", F.coalesce("phase", F.lit("remaining")))
+    return L.phase_split(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey", [F.desc("p_retailprice"), "p_partkey"])
 
 
 @query(
@@ -152,48 +140,36 @@ def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W14_budget_or_danger", "SELECT p_partkey FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 100 OR contains(p_type, 'BRASS')")
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    top = part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    return top.union(part.filter(F.col("p_type").contains("BRASS"))).select("p_partkey").distinct()
+    return L.best_or(table(spark, sf_dir, "part"), "p_partkey", [F.desc("p_retailprice"), "p_partkey"], 100, F.col("p_type").contains("BRASS"))
 
 
 @query("W15_library_guard", "WITH e AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') SELECT c_custkey FROM (SELECT c_custkey FROM e ORDER BY c_acctbal DESC, c_custkey LIMIT 10) UNION SELECT c_custkey FROM customer WHERE c_acctbal < -950")
 def library_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    top = c.filter("c_mktsegment = 'BUILDING'").orderBy(F.desc("c_acctbal"), "c_custkey").limit(10)
-    return top.union(c.filter("c_acctbal < -950")).select("c_custkey").distinct()
+    return L.best_or(table(spark, sf_dir, "customer"), "c_custkey", [F.desc("c_acctbal"), "c_custkey"], 10, F.col("c_acctbal") < -950, F.col("c_mktsegment") == "BUILDING")
 
 
 @query("W16_nearby_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents) SELECT doc_id, no, line FROM l WHERE no >= doc_id % 30 - 20 AND no < doc_id % 30 + 5")
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("doc_id") % 30
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter((F.col("pos") + 1 >= at - 20) & (F.col("pos") + 1 < at + 5)).select("doc_id", (F.col("pos") + 1).cast("long").alias("no"), "line")
+    return L.nearby_lines(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("doc_id") % 30)
 
 
 @query("W17_chunks", "SELECT o_orderkey, o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority, o_orderkey % 64 ORDER BY o_orderkey) - 1) // 10 AS chunk FROM orders")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of ten within the 64 parts of each priority, so no priority is numbered in one task."""
-    order = Window.partitionBy("o_orderpriority", F.col("o_orderkey") % 64).orderBy("o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("r", (F.row_number().over(order) - 1).cast("long")).selectExpr("o_orderkey", "o_orderpriority", "r div 10 AS chunk")
+    return L.chunks(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
 
 
 @query("W18_card_selection", "WITH p AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority IN ('1-URGENT', '2-HIGH') AS warm FROM orders), a AS (SELECT * FROM p WHERE warm ORDER BY o_totalprice DESC, o_orderkey LIMIT 10), b AS (SELECT * FROM p WHERE NOT warm AND o_custkey NOT IN (SELECT o_custkey FROM a) ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) SELECT o_orderkey, warm FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "orders").withColumn("warm", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    best = [F.desc("o_totalprice"), "o_orderkey"]
-    a = p.filter("warm").orderBy(*best).limit(10)
-    b = p.filter("NOT warm").join(F.broadcast(a.select("o_custkey")), "o_custkey", "left_anti").orderBy(*best).limit(5)
-    return a.select("o_orderkey", "warm").union(b.select("o_orderkey", "warm"))
+    return L.two_pools(p, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], F.col("warm")).select("o_orderkey", "warm")
 
 
 @query("W19_priority_map", "WITH m AS (SELECT p_type, max(p_retailprice) AS priority, count(*) OVER () AS n FROM part GROUP BY 1) SELECT p_type, priority, CASE WHEN n >= 500 THEN 400 WHEN n >= 200 THEN 200 END AS cap FROM m")
 def priority_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "part").groupBy("p_type").agg(F.max("p_retailprice").alias("priority"))
-    n = m.agg(F.count(F.lit(1)).alias("n"))
-    return m.crossJoin(F.broadcast(n)).select("p_type", "priority", F.when(F.col("n") >= 500, 400).when(F.col("n") >= 200, 200).alias("cap"))
+    return L.priority_map(table(spark, sf_dir, "part"), "p_type", "p_retailprice")
 
 
 @query("W20_batches", "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 2 THEN 'batch' ELSE 'single' END AS kind FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(n.alias("n"), F.when(n >= 2, "batch").otherwise("single").alias("kind"))
+    return L.batches(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), "o_custkey")

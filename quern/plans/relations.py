@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
+from quern.operators import aggregates as A
+from quern.operators import checks as K
 from quern.operators import joins as J
 from quern.registry import query, table
 
@@ -76,9 +78,7 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J7_J8_callers_of_name", "SELECT a.p_partkey AS callee, count(*) AS callers FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size GROUP BY 1")
 def callers_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of a name (brand and size) with all its overloads, counted before the join rather than paired."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    sizes = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("callers"))
-    return part.join(sizes, ["p_brand", "p_size"]).select(F.col("p_partkey").alias("callee"), "callers")
+    return K.callers_of_name(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_size"]).withColumnRenamed("p_partkey", "callee")
 
 
 @query("J10_fuzzy_file", "WITH w AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN url ELSE 'x/' || regexp_extract(url, '[^/]*$') END AS name FROM pages), f AS (SELECT url AS path, page_id AS ordinal FROM pages), m AS (SELECT name, 1 AS p, ordinal, path FROM w JOIN f ON name = path UNION ALL SELECT name, 2, ordinal, path FROM w JOIN f ON regexp_extract(name, '[^/]*$') = regexp_extract(path, '[^/]*$')) SELECT name, coalesce((SELECT path FROM m WHERE m.name = w.name ORDER BY p, ordinal LIMIT 1), '') AS path FROM w")
@@ -100,35 +100,35 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J12_agreement", "SELECT a.doc_id, bool_or(coalesce(l.quality = 1 AND a.n_chars % 2 = l.toxic, false)) AS agrees, count(l.doc_id) AS n_static FROM documents a LEFT JOIN labels l ON a.doc_id = l.doc_id GROUP BY 1")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings against static results of the same file; the same line is an agreement."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").withColumn("hit", F.lit(1))
-    same = (F.col("quality") == 1) & (F.col("n_chars") % 2 == F.col("toxic"))
-    return docs.join(labels, "doc_id", "left").groupBy("doc_id").agg(F.bool_or(F.coalesce(same, F.lit(False))).alias("agrees"), F.count("hit").alias("n_static"))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels")
+    return K.agreement(docs, labels, "doc_id", (F.col("quality") == 1) & (F.col("n_chars") % 2 == F.col("toxic")))
 
 
-@query("J13_candidate_cards", "SELECT p_partkey, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS cards FROM part JOIN (SELECT DISTINCT event_type FROM events) ON ends_with(lower(p_type), substr(event_type, 1, 1)) OR p_size = length(event_type) GROUP BY 1")
+@query(
+    "J13_candidate_cards",
+    "WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'dir' || s_suppkey % 50 || '/f' || s_suppkey % 7 || '.py' ELSE 'f' || s_suppkey % 7 || '.py' END AS file, ['fn' || s_suppkey % 40, 'fn' || s_nationkey] AS functions FROM supplier), "
+    "p AS (SELECT p_partkey, 'src/dir' || p_partkey % 50 || '/f' || p_size % 7 || '.py' AS file, 'fn' || p_size AS fn FROM part) SELECT DISTINCT p_partkey, s_suppkey AS card FROM p JOIN c ON p.file = c.file OR ends_with(p.file, '/' || c.file) OR list_contains(functions, fn)",
+)
 def candidate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with the cards whose file ends theirs or whose functions hold theirs; there are five cards, one for each event type."""
-    cards = table(spark, sf_dir, "events").select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("cards"))
-    part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("t"), "p_size")
-    found = part.crossJoin(F.broadcast(cards)).withColumn("cards", F.filter("cards", lambda c: F.endswith(F.col("t"), F.substring(c, 1, 1)) | (F.col("p_size") == F.length(c))))
-    return found.filter(F.size("cards") > 0).select("p_partkey", F.array_join("cards", ",").alias("cards"))
+    """Candidates with the cards whose file ends theirs or whose functions hold theirs."""
+    name = F.concat(F.lit("f"), F.col("s_suppkey") % 7, F.lit(".py"))
+    file = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("dir"), F.col("s_suppkey") % 50, F.lit("/"), name)).otherwise(name)
+    cards = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("card"), file.alias("file"), F.array(F.concat(F.lit("fn"), F.col("s_suppkey") % 40), F.concat(F.lit("fn"), "s_nationkey")).alias("functions"))
+    path = F.concat(F.lit("src/dir"), F.col("p_partkey") % 50, F.lit("/f"), F.col("p_size") % 7, F.lit(".py"))
+    return K.candidate_cards(table(spark, sf_dir, "part").select("p_partkey", path.alias("file"), F.concat(F.lit("fn"), "p_size").alias("fn")), cards, "p_partkey", "file", "fn")
 
 
 @query("J14_injection", "SELECT c_custkey, 'injected' AS origin FROM customer WHERE c_acctbal > 9000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").filter("c_acctbal > 9000").join(big, "c_custkey", "left_anti").select("c_custkey", F.lit("injected").alias("origin"))
+    return K.injected(table(spark, sf_dir, "customer").filter("c_acctbal > 9000"), big, "c_custkey")
 
 
 @query("J15_V1_file_check", "WITH f AS (SELECT url FROM pages WHERE page_id % 2 = 0), b AS (SELECT regexp_extract(url, '[^/]*$') AS base, min(url) AS fixed FROM f GROUP BY 1) SELECT page_id, f.url IS NOT NULL AS found, CASE WHEN f.url IS NULL THEN fixed END AS corrected FROM pages p LEFT JOIN (SELECT DISTINCT url FROM f) f ON p.url = f.url LEFT JOIN b ON regexp_extract(p.url, '[^/]*$') = base")
 def file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file that isn't there is corrected to the first of the same base name."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.substring_index("url", "/", -1).alias("base"))
-    files = pages.filter("page_id % 2 = 0")
-    there = files.select("url").distinct().withColumn("hit", F.lit(True))
-    fixed = files.groupBy("base").agg(F.min("url").alias("fixed"))
-    found = pages.join(there, "url", "left").join(fixed, "base", "left")
-    return found.select("page_id", F.col("hit").isNotNull().alias("found"), F.when(F.col("hit").isNull(), F.col("fixed")).alias("corrected"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return K.file_check(pages, pages.filter("page_id % 2 = 0"), "url").select("page_id", "found", "corrected")
 
 
 @query("S11_two_semi_joins", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20)")
@@ -150,75 +150,66 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False positives by file (user) and rule; a file with a rule of two or more is suppressed."""
     text = F.concat(F.lit("[SAST:r"), F.col("event_id") % 3, F.lit("] seen [SAST:s"), F.col("user_id") % 2, F.lit("]"))
-    e = table(spark, sf_dir, "events").filter("event_type <> 'purchase'").select("user_id", F.explode(F.regexp_extract_all(text, F.lit(r"\[SAST:([^\]]+)\]"), F.lit(1))).alias("rule"))
-    counts = e.groupBy("user_id", "rule").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("user_id").agg((F.max("n") >= 2).alias("suppressed"))
-    return counts.join(most, "user_id")
+    found = table(spark, sf_dir, "events").select("user_id", text.alias("evidence"), (F.col("event_type") == "purchase").alias("triggerable"))
+    return A.false_positives(found, "user_id", "evidence", "triggerable")
 
 
 @query("A1_A6_report", "SELECT l_returnflag AS severity, l_linestatus AS status, count(*) AS findings, count(*) FILTER (l_discount > 0.05) AS high, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY ALL")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("severity"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("l_discount") > 0.05).alias("high"), F.round(F.sum("l_tax"), 4).alias("tax"))
+    lines = table(spark, sf_dir, "lineitem")
+    counts = A.count_by(lines, {"severity": "l_returnflag", "status": "l_linestatus"}, "findings", high=F.col("l_discount") > 0.05)
+    tax = lines.groupBy(F.col("l_returnflag").alias("severity"), F.col("l_linestatus").alias("status")).agg(F.round(F.sum("l_tax"), 4).alias("tax"))
+    return counts.join(tax, ["severity", "status"])
 
 
 @query("A7_buckets", "SELECT count(*) AS total, count(*) FILTER (quality = 0) AS vulnerable, count(*) FILTER (doc_id % 11 >= 4 AND doc_id % 11 < 7) AS interesting, count(*) FILTER (doc_id % 11 < 4) AS safe FROM labels")
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("doc_id") % 11
-    return table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 0).alias("vulnerable"), F.count_if((c >= 4) & (c < 7)).alias("interesting"), F.count_if(c < 4).alias("safe"))
+    return A.outcome_buckets(table(spark, sf_dir, "labels"), F.col("quality") == 0, F.col("doc_id") % 11)
 
 
 @query("A9_route_kpis", "SELECT o_orderpriority AS project, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS authed, count(*) FILTER (o_orderkey % 4 = 0) AS public, count(*) - count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderkey % 4 = 0) AS no_auth FROM orders GROUP BY 1")
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are both authed and public are taken off twice, as in what is matched."""
-    a = F.count_if(F.col("o_orderstatus") == "F")
-    p = F.count_if(F.col("o_orderkey") % 4 == 0)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("project")).agg(F.count(F.lit(1)).alias("total"), a.alias("authed"), p.alias("public")).withColumn("no_auth", F.expr("total - authed - public"))
+    return A.route_kpis(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F", F.col("o_orderkey") % 4 == 0)
 
 
 @query("A10_top_counts", "SELECT p_type AS ext, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 10")
 def top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext").limit(10)
+    return A.top_counts(table(spark, sf_dir, "part"), "p_type").withColumnRenamed("p_type", "ext")
 
 
 @query("A11_symbol_table", "SELECT event_type AS symbol, arg_min(user_id || ':' || event_id, event_id) AS place FROM events GROUP BY 1")
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.min_by(F.concat("user_id", F.lit(":"), "event_id"), "event_id").alias("place"))
+    return A.first_places(table(spark, sf_dir, "events"), "event_type", F.concat("user_id", F.lit(":"), "event_id"), "event_id").withColumnRenamed("event_type", "symbol")
 
 
 @query("A2_card_signals", "SELECT user_id, event_type AS signal, count(DISTINCT event_id % 10) AS n FROM events GROUP BY ALL")
 def card_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of a file, one for each tag name; distinct pairs first, so a file with many tags is counted in parts."""
-    pairs = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("signal"), (F.col("event_id") % 10).alias("name")).distinct()
-    return pairs.groupBy("user_id", "signal").agg(F.count(F.lit(1)).alias("n"))
+    tags = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("signal"), (F.col("event_id") % 10).alias("name"))
+    return A.distinct_by(tags, ["user_id", "signal"], "name")
 
 
 @query("A12_score_cascade", "SELECT l_orderkey, round(min(CASE WHEN l_discount < 0.09 THEN 1 ELSE 0 END) * 0.6 + 0.4 * count(*) FILTER (l_tax > 0.02) / count(*), 2) AS score FROM lineitem GROUP BY 1")
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_discount") < 0.09, 1).otherwise(0)).alias("p0"), (F.count_if(F.col("l_tax") > 0.02) / F.count(F.lit(1))).alias("p1"))
-    return lines.select("l_orderkey", F.round(F.col("p0") * 0.6 + 0.4 * F.col("p1"), 2).alias("score"))
+    return A.score_cascade(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_discount") < 0.09, F.col("l_tax") > 0.02)
 
 
 @query("A13_majority_vote", "WITH v AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS vuln, o_orderkey % 11 AS conf, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), a AS (SELECT o_custkey, arg_min(vuln, r) AS vuln, arg_min(conf, r) AS conf, count(*) FILTER (vuln) >= 2 AS major, CAST(floor(avg(conf)) AS BIGINT) AS mean FROM v WHERE r <= 3 GROUP BY 1) SELECT o_custkey, CASE WHEN conf BETWEEN 4 AND 7 THEN major ELSE vuln END AS vuln, CASE WHEN conf BETWEEN 4 AND 7 AND major AND NOT vuln THEN greatest(mean, 7) WHEN conf BETWEEN 4 AND 7 AND NOT major AND vuln THEN least(mean, 3) ELSE conf END AS conf FROM a")
 def majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three votes; grey-zone results (4 to 7) are promoted or demoted by two of them."""
     votes = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("vuln"), (F.col("o_orderkey") % 11).alias("conf"))
-    three = J.first_rows(votes, ["o_custkey"], ["o_orderkey"], 3)
-    a = three.groupBy("o_custkey").agg(F.min_by("vuln", "o_orderkey").alias("v"), F.min_by("conf", "o_orderkey").alias("c"), (F.count_if("vuln") >= 2).alias("major"), F.floor(F.avg("conf")).alias("mean"))
-    grey = F.col("c").between(4, 7)
-    conf = F.when(grey & F.col("major") & ~F.col("v"), F.greatest("mean", F.lit(7))).when(grey & ~F.col("major") & F.col("v"), F.least("mean", F.lit(3))).otherwise(F.col("c"))
-    return a.select("o_custkey", F.when(grey, F.col("major")).otherwise(F.col("v")).alias("vuln"), conf.alias("conf"))
+    return A.majority_vote(votes, "o_custkey", "o_orderkey", "vuln", "conf")
 
 
 @query("A14_dedup_ratio", "SELECT source, round(1 - count(DISTINCT text) / count(*), 6) AS ratio FROM documents GROUP BY 1")
 def dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
-    return d.groupBy("source").agg(F.round(1 - F.count(F.lit(1)) / F.sum("n"), 6).alias("ratio"))
+    return A.repeat_ratio(table(spark, sf_dir, "documents"), "source", "text")
 
 
 @query("A15_cache_stats", "SELECT count(*) AS entries, CAST(sum(n - 1) AS BIGINT) AS hits FROM (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY 1)")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.col("n") - 1).alias("hits"))
+    return A.cache_counts(table(spark, sf_dir, "documents"), "text")
 
 
 @query("S4_S5_F23_context", "WITH d AS (SELECT coalesce(regexp_extract(url, '\\.([a-z0-9]+)$', 1), '') AS ext FROM pages) SELECT ext, count(*) AS files FROM d GROUP BY 1")
