@@ -65,6 +65,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def besides(keep: list[str], *made: str) -> list[str]:
+    """The columns to keep without those whose names, in any case, are names that the operator makes itself."""
+    taken = {c.lower() for c in made}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -29,7 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, materialise, words_of
+from .common import besides, documents, lower_ascii, materialise, words_of
 from .stringkernel import remainder
 
 ORDER, SYMBOLS, MARK = 3, 257, 256
@@ -306,9 +306,11 @@ def score_texts(df: DataFrame, train_on: DataFrame, keep: list[str], text_col: s
 
     Learns from all rows of ``train_on`` (column text). Null texts count as empty: one token, the end. Repeated rows
     get equal results. With nothing to learn from, the base is log10 of 0.5 / 0.5 for each token and the model knows
-    the alphabet alone. An empty ``df`` gives no rows.
+    the alphabet alone. An empty ``df`` gives no rows. Columns of ``keep`` named like an output, or like one that this makes on its way, are
+    left out.
     """
     spark = df.sparkSession
+    keep = besides(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_top", "base_top", "tail", "codes", "times", "n_rare", "base_rare", "score_away", "text", "__row")
     grams, counts, whole = _train(train_on)
     lowered = train_on.select(F.explode(words_of(lower_ascii(F.col("text")))).alias("word")).select(F.col("word").cast("binary"))
     words = materialise(lowered.groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import besides, documents
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -269,7 +269,12 @@ def _tokenizer(model: bytes, cache: dict = {}) -> Tokenizer:  # noqa: B006  one
 
 
 def encode(df: DataFrame, text_col: str, keep: list[str], model: bytes) -> DataFrame:
-    """Columns ``keep`` with ids (array of int) and n_ids. Null and empty texts give no ids; rows map one to one."""
+    """Columns ``keep`` with ids (array of int) and n_ids. Null and empty texts give no ids; rows map one to one, repeated ones too.
+
+    An empty input gives no rows. A text of any length is one row of a batch whose bytes Spark bounds. Columns of ``keep`` named like an
+    output are left out.
+    """
+    keep = besides(keep, "ids", "n_ids", "__text")
     shared = df.sparkSession.sparkContext.broadcast(model)
     chosen = df.select(*keep, df[text_col].alias("__text"))
 
@@ -288,7 +293,8 @@ def encode(df: DataFrame, text_col: str, keep: list[str], model: bytes) -> DataF
 
 
 def decode(df: DataFrame, ids_col: str, keep: list[str], model: bytes) -> DataFrame:
-    """Columns ``keep`` with text. Null ids give a null text."""
+    """Columns ``keep`` with text. Null ids give a null text, no ids an empty one; an empty input gives no rows. A kept column text is left out."""
+    keep = besides(keep, "text", "__ids")
     shared = df.sparkSession.sparkContext.broadcast(model)
     chosen = df.select(*keep, df[ids_col].alias("__ids"))
 

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import besides, documents, materialise
 
 SLOTS = 1 << 15
 PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS = 240, 48, 64
+PARTS = 16
 RIDGE = 1.0
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -91,9 +92,12 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int, ridge: float = RIDGE
 
 def _sample(labelled: DataFrame, per_lang: int) -> DataFrame:
     """Presence bitmaps of the texts with the smallest hashes, ``per_lang`` for each language."""
-    hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
-    # The rank filter keeps at most per_lang rows a task and language before the shuffle.
-    ranked = hashed.distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
+    hashed = labelled.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("part", F.spark_partition_id() % PARTS)
+    # Each rank filter keeps at most per_lang rows a task and group before its shuffle; a language's last group has PARTS * per_lang rows
+    # at most, however many tasks there are.
+    ranked = hashed
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= per_lang).drop("r")
     bounds = materialise(ranked.groupBy("lang").agg(F.max("h").alias("most")), "languages")
     if (found := bounds.count()) > MAX_LANGS:
         raise ValueError(f"{found} languages are labelled, {MAX_LANGS} can be learned at most")
@@ -139,8 +143,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
     """Columns ``keep`` with lang_pred and score for every row. `und` and 0 for null texts and those without letters.
 
     The text alone decides. Repeated rows get equal results; an empty input gives no rows; with no language
-    learned all is `und`.
+    learned all is `und`. Of equal regressions the first language by name is taken. Columns of ``keep`` named like an output are
+    left out.
     """
+    keep = besides(keep, "lang_pred", "score", "__text")
     shared = df.sparkSession.sparkContext.broadcast((json.dumps(model[0]), model[1]))
     chosen = df.select(*keep, F.col(text_col).alias("__text"))
 

@@ -186,3 +186,21 @@ def test_string_kernel_tells_alphabets_apart():
     langs, scores = predict(names, weights, ["ABBA ab!", "xy yx", None, "", "12 ?", "x" * 100_000])
     assert langs[:2] == ["p", "q"] and langs[2:5] == ["und"] * 3 and all(0 <= s <= 1 for s in scores)
     assert predict([], np.zeros((weights.shape[0], 0), np.float32), ["abc"]) == (["und"], [0.0])
+
+
+def test_kernel_ridge_equals_a_dense_solve():
+    rng = np.random.default_rng(2)
+    bits = (rng.random((24, 1 << 15)) < 0.01).astype(np.float32)
+    langs = ["a", "b", "c"] * 8
+    names, weights = fit(bits, langs, landmarks=8, ridge=0.5)
+    # With every row a landmark the Nystrom map is exact, so this is ridge regression on the whole kernel with an intercept.
+    unit = bits / np.sqrt(bits.sum(1, keepdims=True))
+    order = np.concatenate([[i for i, x in enumerate(langs) if x == n] for n in names])
+    kernel = (unit @ unit.T).astype(float)
+    values, vectors = np.linalg.eigh(kernel[np.ix_(order, order)])
+    root = vectors / np.sqrt(values)
+    z = np.concatenate([kernel[:, order] @ root, np.ones((24, 1))], 1)
+    target = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
+    wanted = z @ np.linalg.solve(z.T @ z + 0.5 * np.eye(z.shape[1]), z.T @ target)
+    assert np.allclose(unit @ weights[:-1] + weights[-1], wanted, atol=1e-4)
+    assert np.allclose(z[:, :-1] @ z[:, :-1].T, kernel, atol=1e-4)

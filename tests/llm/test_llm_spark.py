@@ -379,3 +379,40 @@ def test_usual_headers_are_found(spark):
     rows += [(f"none/{i}", x) for i, x in enumerate(none)]
     got = {r["path"]: r["own_license"] for r in scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {k: k for k in wanted} | {"MIT/in-a-line": "MIT"} | {f"none/{i}": None for i in range(len(none))}
+
+
+def test_kept_columns_named_like_outputs_are_left_out(spark, docs, none):
+    clash = docs.selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS ids", "4 AS n_ids", "5 AS n_tokens", "6 AS tail", "7 AS codes")
+    model = train(docs.select("text", "lang"))
+    found = identify(clash, model, "text", ["doc_id", "score", "lang_pred", "ids"])
+    assert found.columns == ["doc_id", "ids", "lang_pred", "score"] and found.count() == len(ROWS)
+    coded = encode(clash, "text", ["doc_id", "ids", "N_IDS", "score"], read_model())
+    assert coded.columns == ["doc_id", "score", "ids", "n_ids"] and coded.count() == len(ROWS)
+    assert decode(coded.withColumn("text", F.lit("x")), "ids", ["doc_id", "text"], read_model()).columns == ["doc_id", "text"]
+    scored = ppm.score_texts(clash, docs.select("text"), ["doc_id", "score", "tail", "ids", "n_tokens", "codes"])
+    assert scored.columns == ["doc_id", "ids", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and scored.count() == len(ROWS)
+
+
+def test_sharding_query_by_brute_force(spark, tmp_path):
+    from quern.llm.sharding import op2_sharding
+
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["", None, "é", "same", "same", *(f"t{k}" for k in range(60))])]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op2_sharding(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    slots = {}
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        assert (got[i]["size"], got[i]["text_crc32"], got[i]["law"], got[i]["grown_shard"]) == (len(data) + 8, zlib.crc32(data), "rows", None)
+        slots.setdefault(got[i]["shard"], []).append(got[i]["slot"])
+    assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots.get(k, [])) for k in range(24)]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_sample_of_a_language_is_that_of_the_smallest_hashes(spark):
+    rows = [(f"text number {k}", "en" if k % 3 else "de") for k in range(400)] * 2
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(9)
+    got = {(r["lang"], r["h"]) for r in stringkernel._sample(df, 20).collect()}
+    hashes = df.selectExpr("lang", "xxhash64(text) AS h").distinct().collect()
+    assert got == {(lang, h) for lang in ("en", "de") for h in sorted(r["h"] for r in hashes if r["lang"] == lang)[:20]}
