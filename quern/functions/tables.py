@@ -61,12 +61,12 @@ PYTHON_SINKS = {
 }
 PYTHON_SANITIZERS = ["shlex.quote", "shlex.escape", "html.escape", "re.escape", "django.utils.html.escape", "flask.escape"]
 NOISE_CALLS = [
-    *("print", "pprint", "printf", "echo", "write"),
-    *("logging.info", "logging.debug", "logging.warning", "logging.error", "logging.critical", "logging.exception", "logging.log"),
-    *("log.info", "log.debug", "log.warning", "log.error", "log.critical"),
-    *("logger.info", "logger.debug", "logger.warning", "logger.error", "logger.critical"),
-    *("system.out.println", "system.out.print", "system.out.printf", "system.err.println", "system.err.print", "system.err.printf"),
-    *("console.log", "console.info", "console.debug", "console.warn", "console.error", "console.trace", "console.dir"),
+    "print", "pprint", "printf", "echo", "write",
+    "logging.info", "logging.debug", "logging.warning", "logging.error", "logging.critical", "logging.exception", "logging.log",
+    "log.info", "log.debug", "log.warning", "log.error", "log.critical",
+    "logger.info", "logger.debug", "logger.warning", "logger.error", "logger.critical",
+    "system.out.println", "system.out.print", "system.out.printf", "system.err.println", "system.err.print", "system.err.printf",
+    "console.log", "console.info", "console.debug", "console.warn", "console.error", "console.trace", "console.dir",
 ]
 LOG_LEVELS = ["info", "debug", "warn", "warning", "error", "critical", "exception", "trace", "log"]
 SANITIZER_TERMS = ["escape", "sanitize", "sanitise", "encode", "validate", "clean", "strip", "purify", "escape_string", "html.escape", "htmlentities", "strip_tags", "filter_var", "filter_input", "quote", "quote_plus", "urlencode"]
@@ -155,12 +155,12 @@ HIGH_GLOBS = ["*security*", "*auth*", "*login*", "*oauth*", "*jwt*", "*token*",
 LOW_GLOBS = ["*.md", "*.txt", "*.png", "*.jpg", "*.svg", "*.ico", "*.css", "*.scss", "*.less", "node_modules/*", ".git/*", "__pycache__/*", ".venv/*", "*.test.*", "*.spec.*", "*_test.go", "*test_*", "LICENSE", "README*", "CHANGELOG*"]
 CODE_EXTENSIONS = [".py", ".java", ".js", ".ts", ".go", ".rs", ".php", ".rb", ".kt"]
 SINK_WEIGHTS = {
-    **{"exec": 1.0, "eval": 1.0, "compile": 0.9, "subprocess.call": 1.0, "subprocess.Popen": 1.0, "subprocess.run": 0.9, "subprocess.check_output": 0.9, "subprocess.check_call": 0.9, "subprocess.getoutput": 0.8, "subprocess.getstatusoutput": 0.8},
-    **{"os.system": 1.0, "os.popen": 1.0, "Runtime.exec": 1.0, "ProcessBuilder": 0.9, "pickle.loads": 0.9, "pickle.load": 0.9, "yaml.load": 0.9, "yaml.unsafe_load": 0.9, "jsonpickle.decode": 0.8},
-    **{"open": 0.6, "file": 0.5, "pathlib.Path.read_text": 0.5, "pathlib.Path.read_bytes": 0.5, "pathlib.Path.open": 0.6, "requests.get": 0.5, "requests.post": 0.5, "requests.put": 0.5, "requests.request": 0.5},
-    **{"urllib.request.urlopen": 0.6, "urllib.request.urlretrieve": 0.6, "httpx.get": 0.5, "httpx.post": 0.5, "aiohttp.ClientSession.get": 0.5, "execute": 0.8, "executemany": 0.8, "executescript": 0.8, "cursor.execute": 0.8, "connection.execute": 0.7},
-    **{"render_template_string": 0.6, "format": 0.4, "Markup": 0.5, "pathlib.Path.write_text": 0.6, "pathlib.Path.write_bytes": 0.6, "get_object_or_404": 0.5, "queryset.filter": 0.4},
-    **{"glob": 0.6, "re.compile": 0.7, "re.match": 0.6, "re.search": 0.6, "re.findall": 0.5, "re.fullmatch": 0.5, "re.sub": 0.5, "fnmatch.translate": 0.5, "fnmatch.filter": 0.5},
+    "exec": 1.0, "eval": 1.0, "compile": 0.9, "subprocess.call": 1.0, "subprocess.Popen": 1.0, "subprocess.run": 0.9, "subprocess.check_output": 0.9, "subprocess.check_call": 0.9, "subprocess.getoutput": 0.8, "subprocess.getstatusoutput": 0.8,
+    "os.system": 1.0, "os.popen": 1.0, "Runtime.exec": 1.0, "ProcessBuilder": 0.9, "pickle.loads": 0.9, "pickle.load": 0.9, "yaml.load": 0.9, "yaml.unsafe_load": 0.9, "jsonpickle.decode": 0.8,
+    "open": 0.6, "file": 0.5, "pathlib.Path.read_text": 0.5, "pathlib.Path.read_bytes": 0.5, "pathlib.Path.open": 0.6, "requests.get": 0.5, "requests.post": 0.5, "requests.put": 0.5, "requests.request": 0.5,
+    "urllib.request.urlopen": 0.6, "urllib.request.urlretrieve": 0.6, "httpx.get": 0.5, "httpx.post": 0.5, "aiohttp.ClientSession.get": 0.5, "execute": 0.8, "executemany": 0.8, "executescript": 0.8, "cursor.execute": 0.8, "connection.execute": 0.7,
+    "render_template_string": 0.6, "format": 0.4, "Markup": 0.5, "pathlib.Path.write_text": 0.6, "pathlib.Path.write_bytes": 0.6, "get_object_or_404": 0.5, "queryset.filter": 0.4,
+    "glob": 0.6, "re.compile": 0.7, "re.match": 0.6, "re.search": 0.6, "re.findall": 0.5, "re.fullmatch": 0.5, "re.sub": 0.5, "fnmatch.translate": 0.5, "fnmatch.filter": 0.5,
 }
 COMMON_NAMES = ["get", "set", "parse", "validate", "check", "format", "load", "save", "read", "write", "open", "close", "init", "run", "start", "stop", "handle", "process", "transform", "convert", "build", "create", "delete", "update", "insert", "query", "find", "search", "filter", "map", "reduce", "apply", "call"]
 SIGNAL_WEIGHTS = {"entry_point": 100, "sql_sink": 80, "cmd_exec": 80, "dynamic_exec": 80, "critical_sink": 500, "file_io": 10, "serialization": 20, "network_operation": 5, "recursion": 30, "regex_operation": 15, "crypto_operation": 5, "auth_check": 20, "test_code": 0.0, "dead_code": 0.1, "pure_helper": 0.3}
