@@ -216,3 +216,29 @@ JAVA_SINKS = {
     "Logger.info": "low",
 }
 JS_SINKS = {"eval": "critical", "innerHTML": "high", "outerHTML": "high", "insertAdjacentHTML": "high", "document.write": "high", "Function": "critical"}
+
+#: Patterns of web applications in Python code.
+WEB_PATTERNS = [
+    r"(?i)@\w+\.(get|post|put|delete|patch)\s*\(",
+    r"(?i)from flask import",
+    r"(?i)@\w+\.(get|post|put|delete|patch|websocket)\s*\(",
+    r"(?i)from fastapi import",
+    r"(?i)from fastapi\.routing",
+    r"(?i)APIRouter|FastAPI\(",
+    r"(?i)urlpatterns\s*=",
+    r"(?i)from django\.urls",
+    r"(?i)from django\.conf\.urls",
+    r"[^a-zA-Z.]path\s*\([\"']",
+    r"(?i)re_path\s*\(",
+    r"(?i)from aiohttp import web",
+    r"(?i)aiohttp\.web",
+    r"(?i)routes\s*=\s*web\.RouteTableDef",
+    r"(?i)from starlette\.routing",
+    r"(?i)@\w+\.route\s*\(",
+    r"(?i)gr\.Interface\s*\(",
+    r"(?i)gr\.(Chat|Blocks|TabbedInterface)\s*\(",
+    r"(?i)async def \w+\(.*request.*\)",
+    r"(?i)def \w+\(.*request.*\)",
+    r"(?i)\.listen\s*\(\d+",
+    r"(?i)uvicorn\.run",
+]

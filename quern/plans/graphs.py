@@ -219,11 +219,6 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.summary(trade_edges(spark, sf_dir), signals)
 
 
-@query("G2_callers_by_name", "SELECT DISTINCT p_type AS callee, p_brand AS caller FROM part")
-def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_type").alias("callee"), F.col("p_brand").alias("caller")).distinct()
-
-
 @query(
     "G12_noise_filtered_graph",
     f"WITH {EDGES_SQL} SELECT dst AS src, src AS dst FROM edges WHERE NOT regexp_matches(src, '1[0-9]$') AND NOT regexp_matches(dst, '1[0-9]$')",

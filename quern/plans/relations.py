@@ -212,17 +212,6 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cache_counts(table(spark, sf_dir, "documents"), "text")
 
 
-@query("S4_S5_F23_context", "WITH d AS (SELECT coalesce(regexp_extract(url, '\\.([a-z0-9]+)$', 1), '') AS ext FROM pages) SELECT ext, count(*) AS files FROM d GROUP BY 1")
-def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"\.([a-z0-9]+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("files"))
-
-
-@query("F27_F28_lookup", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND p_size > 10 AND p_brand <> 'Brand#11' ORDER BY p_partkey LIMIT 20")
-def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.lower("p_name").contains("a") & (F.col("p_size") > 10) & (F.col("p_brand") != "Brand#11")
-    return table(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
-
-
 @query("S14_grep", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents) SELECT doc_id, no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS r FROM l WHERE regexp_matches(line, '(?i)licen[cs]e|the and')) WHERE r <= 10")
 def grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten matching lines of each file."""

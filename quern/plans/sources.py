@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify as C
 from quern.functions import tables as T
+from quern.operators import project as P
+from quern.operators import taint
 from quern.operators import validators as V
 from quern.registry import query, table
 from quern.sources import files as S
-from quern.sources import routes, syntax
+from quern.sources import python_code, routes, syntax
 
 from .classifiers import sql_case, sql_text
 
@@ -170,3 +172,87 @@ def _matched(sinks: dict[str, str]) -> str:
 def java_js_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.get(F.array(*[F.lit(c) for c in _CALLS]), (F.col("event_id") % len(_CALLS)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", C.sink_of(call, T.JAVA_SINKS).alias("java"), C.sink_of(call, T.JS_SINKS).alias("js"))
+
+
+_EXTENSIONS = ["py", "java", "ts", "go", "toml", "PY"]
+_PROJECT_SQL = f"pf AS (SELECT p_partkey, p_brand AS project, p_brand || CASE p_partkey % 3 WHEN 0 THEN '/tests/' ELSE '/src/' END || CASE WHEN p_partkey % 97 = 5 THEN 'Main' || '.py' WHEN p_partkey % 89 = 7 THEN 'd' || p_partkey || '/pyproject.toml' ELSE 'f' || p_partkey || '.' || {'[' + ', '.join(map(sql_text, _EXTENSIONS)) + ']'}[1 + p_size % {len(_EXTENSIONS)}] END AS path FROM part)"
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, source, p_partkey): a project for each brand."""
+    ending = F.get(F.array(*[F.lit(e) for e in _EXTENSIONS]), (F.col("p_size") % len(_EXTENSIONS)).cast("int"))
+    name = F.when(F.col("p_partkey") % 97 == 5, F.lit("Main.py")).when(F.col("p_partkey") % 89 == 7, F.concat(F.lit("d"), "p_partkey", F.lit("/pyproject.toml"))).otherwise(F.concat(F.lit("f"), "p_partkey", F.lit("."), ending))
+    source = F.get(F.array(*[F.lit(t) for t in PYTHON]), (F.col("p_partkey") % len(PYTHON)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "/tests/").otherwise("/src/"), name).alias("path"), source.alias("source"), "p_partkey")
+
+
+_EXT = "lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]*)$', 1))"
+_LANGUAGES = {e: language for language, endings in P.LANGUAGE_EXTENSIONS.items() for e in endings}
+_LANGUAGE_SQL = "CASE " + " ".join(f"WHEN {_EXT} IN ({', '.join(map(sql_text, endings))}) THEN {sql_text(language)}" for language, endings in P.LANGUAGE_EXTENSIONS.items()) + " END"
+
+
+@query(
+    "S4_S5_context",
+    f"WITH {_PROJECT_SQL}, l AS (SELECT *, {_LANGUAGE_SQL} AS language FROM pf) SELECT project, count(*) AS files, count(language) AS supported, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages, coalesce(array_to_string(list_sort(list_distinct(list(path) FILTER (ends_with(path, '/pyproject.toml')))), ','), '') AS manifests FROM l GROUP BY 1",
+)
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.context(project_files(spark, sf_dir), _LANGUAGES)
+    return found.select("project", "files", "supported", F.array_join("languages", ",").alias("languages"), F.array_join("manifests", ",").alias("manifests"))
+
+
+@query("F23_main_language", f"WITH {_PROJECT_SQL}, l AS (SELECT project, {_LANGUAGE_SQL} AS language, count(*) AS n, min(path) AS first FROM pf GROUP BY 1, 2) SELECT project, arg_min(language, row(-n, first)) AS language FROM l WHERE language IS NOT NULL GROUP BY 1")
+def main_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.main_language(project_files(spark, sf_dir))
+
+
+@query(
+    "F22_project_type",
+    f"WITH {_PROJECT_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS r FROM (SELECT DISTINCT project, path FROM pf WHERE ends_with(path, '.py') AND NOT contains(path, '/tests/'))) "
+    f"SELECT project, CASE WHEN bool_or(web) THEN 'app' ELSE 'lib' END AS kind FROM (SELECT project, false AS web FROM pf UNION ALL SELECT pf.project, p_partkey % {len(PYTHON)} = 1 FROM pf JOIN f ON pf.project = f.project AND pf.path = f.path WHERE r <= 50) GROUP BY 1",
+)
+def project_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.project_type(project_files(spark, sf_dir), T.WEB_PATTERNS)
+
+
+@query(
+    "F24_entry_points",
+    f"WITH {_PROJECT_SQL}, e AS (SELECT DISTINCT project, path FROM pf WHERE ends_with(path, '/Main.py') OR p_partkey % {len(PYTHON)} = 1 AND lower(regexp_extract(path, '[^.]*$')) = 'py') SELECT * FROM e UNION ALL SELECT project, min(path) FROM pf WHERE project NOT IN (SELECT project FROM e) GROUP BY 1",
+)
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project_files(spark, sf_dir)
+    return P.entry_points(files, syntax.extract_tags(files.filter(P.extension(F.col("path")) == "py")))
+
+
+@query("S15_listing", f"WITH {_PROJECT_SQL}, n AS (SELECT substr(path, length('Brand#11/src/') + 1) AS rest FROM pf WHERE starts_with(path, 'Brand#11/src/')) SELECT split_part(rest, '/', 1) AS name, bool_or(contains(rest, '/')) AS is_dir FROM n GROUP BY 1")
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.listing(project_files(spark, sf_dir), "Brand#11/src")
+
+
+_CALLED = [(0, "read", "loads"), (0, "read", "open"), (0, "read", "eval"), (0, "read", "read"), (1, "run", "run"), (1, "again", "again"), (3, "test_add", "isinstance"), (4, "Job.login", "execute"), (4, "Job.login", "load"), (1, "", "route"), (4, "", "run")]
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, caller_name, callee_name) of the parsed code files."""
+    rows = python_code.parse(_files(spark, sf_dir, PYTHON, ".py")).filter("kind = 'call'")
+    return rows.select("file", F.col("detail").alias("caller_name"), F.col("name").alias("callee_name"))
+
+
+@query("G2_callers_by_name", f"SELECT DISTINCT callee, caller FROM {_values(_CALLED, 'k, caller, callee')}")
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.call_projection(_calls(spark, sf_dir))
+
+
+@query("F27_lookup", f"SELECT 'callers' AS what, caller AS name FROM (SELECT DISTINCT caller FROM {_values(_CALLED, 'k, caller, callee')} WHERE callee = 'run') UNION ALL SELECT 'callees', callee FROM (SELECT DISTINCT callee FROM {_values(_CALLED, 'k, caller, callee')} WHERE caller = 'read') UNION ALL SELECT 'part', file FROM (SELECT 'src/f' || p_partkey || '.py' AS file FROM part WHERE p_partkey % {len(PYTHON)} = 4 ORDER BY 1 LIMIT 20)")
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    functions = python_code.parse(_files(spark, sf_dir, PYTHON, ".py")).filter("kind = 'function'").select("file", "name", "line")
+    told = lambda what, df, c: df.select(F.lit(what).alias("what"), F.col(c).alias("name"))
+    return told("callers", P.callers_of(calls, "run"), "caller").union(told("callees", P.callees_of(calls, "read"), "callee")).union(told("part", P.lookup(functions, "LOG", True), "file"))
+
+
+@query("F28_taint_flows", "SELECT 'src/f' || p_partkey || '.py' AS file, 5 AS line, 'eval' AS sink, 'critical' AS severity FROM part WHERE p_partkey % 2 = 0 AND contains('src/f' || p_partkey || '.py', '1') ORDER BY file LIMIT 20")
+def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = ["import sys\n\ndef go():\n    x = sys.argv[1]\n    eval(x)\n    compile(x)\n", "def go():\n    pass\n"]
+    found = taint.taint_paths(python_code.parse(_files(spark, sf_dir, code, ".py")), most=1_000_000)
+    severity = C.first_of([(F.col("sink") == k, v) for k, v in T.PYTHON_SINKS.items()])
+    return P.flows(found.withColumn("severity", severity), "critical", "1", "eval").select("file", "line", "sink", "severity")

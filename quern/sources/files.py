@@ -59,18 +59,18 @@ def graphson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     schema = "vertices array<struct<id:long,label:string,name:string,external:boolean>>, edges array<struct<label:string,outV:long,inV:long>>"
     g = spark.read.schema(schema).option("multiLine", "true").json(path)
-    v = g.select(F.inline("vertices"))
+    v = g.select(F.posexplode("vertices").alias("at", "v")).select("at", "v.*")
     e = g.select(F.inline("edges"))
-    methods = v.filter((F.col("label") == "METHOD") & ~F.coalesce("external", F.lit(False))).select("id", "name")
+    methods = v.filter((F.col("label") == "METHOD") & ~F.coalesce("external", F.lit(False))).select("id", "name", "at")
     tree = e.filter("label = 'CONTAINS'").select(F.col("inV").alias("child"), F.col("outV").alias("parent"))
     callers = climb(tree, v.select(F.col("id").alias("node"), F.col("label").alias("kind")), "METHOD")
     calls = e.filter("label = 'CALL'").select(F.col("outV").alias("node"), F.col("inV").alias("target"))
     calls = calls.join(callers, "node").select(F.col("ancestor").alias("src"), "target")
-    by_name = methods.groupBy("name").agg(F.max("id").alias("named"))
+    by_name = methods.groupBy("name").agg(F.max_by("id", "at").alias("named"))
     names = v.select(F.col("id").alias("target"), "name")
     found = calls.join(methods.select(F.col("id").alias("target"), F.col("id").alias("same")), "target", "left").join(names, "target", "left").join(by_name, "name", "left")
     edges = found.select("src", F.coalesce("same", "named").alias("dst")).filter("dst is not null").join(methods.select(F.col("id").alias("src")), "src", "left_semi")
-    return methods, edges.distinct()
+    return methods.drop("at"), edges.distinct()
 
 
 def rules_yaml(spark: SparkSession, texts: DataFrame) -> DataFrame:
@@ -142,3 +142,18 @@ def build_index(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     asked = wanted.select(F.regexp_replace("path", "^(\\./)+", "").alias("path"), F.lit(True).alias("__asked")).distinct()
     dangerous = F.exists(F.array(*[F.lit(p) for p in DANGEROUS_IMPORTS]), lambda p: F.col("source").contains(p))
     return known.join(asked, "path", "left").withColumn("full", F.coalesce("__asked", F.lit(False)) | dangerous).drop("__asked")
+
+
+def write_checkpoint(state: DataFrame, path: str) -> None:
+    """A state's rows as JSON lines; what stood at ``path`` is replaced."""
+    state.write.mode("overwrite").json(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A checkpoint's rows; a missing one is empty, fields that don't fit are null, lines that aren't JSON are left out."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)

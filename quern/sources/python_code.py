@@ -92,20 +92,27 @@ class _Tables(ast.NodeVisitor):
     def _row(self, kind: str, name: str, full: str, node: ast.AST, method: bool, params: list[str], detail: str = "") -> None:
         self.rows.append([self.file, kind, name, full, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0), method, params, detail, len(self.rows)])
 
+    def _inside(self, node) -> None:
+        """Decorators belong to the scope around."""
+        for d in node.decorator_list:
+            self.visit(d)
+        self.scope.append(node.name)
+        for name, value in ast.iter_fields(node):
+            for x in value if isinstance(value, list) and name != "decorator_list" else [value]:
+                if isinstance(x, ast.AST):
+                    self.visit(x)
+        self.scope.pop()
+
     def visit_FunctionDef(self, node) -> None:
         full = ".".join([*self.scope, node.name])
         self._row("function", node.name, full, node, bool(self.scope), [a.arg for a in node.args.args], json.dumps(statements(node.body)))
-        self.scope.append(node.name)
-        self.generic_visit(node)
-        self.scope.pop()
+        self._inside(node)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         self._row("class", node.name, ".".join([*self.scope, node.name]), node, False, [b for x in node.bases if (b := dotted(x))])
-        self.scope.append(node.name)
-        self.generic_visit(node)
-        self.scope.pop()
+        self._inside(node)
 
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
