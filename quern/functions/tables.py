@@ -214,7 +214,12 @@ JAVA_SINKS = {
     "WebClient.retrieve": "high",
     "log.info": "low",
     "Logger.info": "low",
+    "DocumentBuilder.parse": "high",
+    "SAXParser.parse": "high",
+    "SAXBuilder.build": "high",
 }
+JAVA_SOURCES = ["getParameter", "getParameterValues", "getParameterMap", "getQueryString", "getHeader", "getCookies", "javax.servlet.http.HttpServletRequest", "jakarta.servlet.http.HttpServletRequest", "@RequestParam", "@PathVariable", "@RequestHeader", "@CookieValue", "@RequestBody", "@ModelAttribute"]
+JS_SOURCES = ["req.query", "req.body", "req.params", "req.headers", "req.cookies", "window.location", "document.URL", "localStorage.getItem", "sessionStorage.getItem"]
 JS_SINKS = {"eval": "critical", "innerHTML": "high", "outerHTML": "high", "insertAdjacentHTML": "high", "document.write": "high", "Function": "critical"}
 
 #: Patterns of web applications in Python code.

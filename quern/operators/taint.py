@@ -32,10 +32,14 @@ def follow(statements: list[dict], tainted: dict[str, tuple[str, int]], sources:
     """(kind, line, call, sink, source, origin line, arguments) of a function's tainted calls; ``tainted``: name to (source, line), grown in place.
 
     A target becomes tainted by a source, by a tainted name or a tainted part before a dot of it, or by a tainted name anywhere in the value;
-    nothing makes it clean again. An argument is tainted only as a plain or dotted name.
+    nothing makes it clean again. An argument is tainted only as a plain or dotted name, or, where it is given as a list of names, by any of them.
+    A seed is a parameter that is a source itself.
     """
     out = []
     for s in statements:
+        if s["do"] == "seed":
+            tainted.setdefault(s["target"], (s["source"], s["line"]))
+            continue
         if s["do"] == "assign":
             if source := _source(s["begins"], sources):
                 tainted[s["target"]] = (source, s["line"])
@@ -45,7 +49,7 @@ def follow(statements: list[dict], tainted: dict[str, tuple[str, int]], sources:
             if origin := next((tainted[w] for w in ways if w in tainted), None):
                 tainted[s["target"]] = origin
             continue
-        args = [a if a in tainted else None for a in s["args"]]
+        args = [next((x for x in a if x in tainted), None) if isinstance(a, list) else a if a in tainted else None for a in s["args"]]
         hits = [a for a in [*args, *(k for k in s["kwargs"] if k in tainted)] if a]
         if not hits:
             continue
@@ -75,24 +79,28 @@ def _pass(work: DataFrame, sources: list[str], sinks: list[str]) -> DataFrame:
     return work.mapInPandas(run, _SCHEMA)
 
 
-def taint_paths(parsed: DataFrame, max_depth: int = 3, most: int = 100, sources: list[str] = T.PYTHON_SOURCES, sinks: dict[str, str] = T.PYTHON_SINKS) -> DataFrame:
+def taint_paths(parsed: DataFrame, max_depth: int = 3, most: int | None = 100, sources: list[str] = T.PYTHON_SOURCES, sinks: dict[str, str] = T.PYTHON_SINKS) -> DataFrame:
     """(source, origin_line, sink, call, file, line, depth, confidence): the first path of each (file, line, call).
 
     Callees: the function of that qualified name, else the first one by file and order whose name ends in it. Only
-    positional arguments carry over. The first ``most`` paths by depth, file and order are returned; a run that
-    stops between functions may give a few more, so the cap here is exact where that one overshoots.
+    positional arguments carry over. The first ``most`` paths by depth, file and order are returned (all, if None); a run that
+    stops between functions may give a few more, so the cap here is exact where that one overshoots. Functions are reduced to one
+    for each name and each end of a name before calls are joined to them.
     """
     functions = parsed.filter("kind = 'function'").select("file", F.col("fullname").alias("fn"), "params", "detail", "ordinal")
     functions = materialise(functions, "functions")
+    first = F.min_by(F.struct(*functions.columns), F.struct("file", "ordinal")).alias("f")
+    parts = F.split("fn", "\\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    exact = functions.groupBy(F.col("fn").alias("call")).agg(first)
+    by_end = functions.filter(F.size(parts) > 1).withColumn("call", F.explode(ends)).groupBy("call").agg(first)
+    known = materialise(exact.select("call", "f.*").withColumn("p", F.lit(0)).unionByName(by_end.select("call", "f.*").withColumn("p", F.lit(1))), "callees")
     names = list(sinks)
     found = materialise(_pass(functions.withColumn("seeds", F.lit(None).cast("string")), sources, names), "taint-0")
     levels = [found.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
         calls = found.filter("kind = 'call'").select("call", "args").distinct()
-        tail = F.substring_index("call", ".", -1)
-        exact = calls.join(functions, F.col("call") == F.col("fn")).select("call", "args", F.lit(0).alias("p"), *functions.columns)
-        ends = calls.join(functions.withColumn("tail", F.substring_index("fn", ".", -1)), tail == F.col("tail")).filter(F.col("fn").endswith(F.concat(F.lit("."), F.col("call")))).select("call", "args", F.lit(1).alias("p"), *functions.columns)
-        best = exact.unionByName(ends).groupBy("call", "args").agg(F.min_by(F.struct(*functions.columns), F.struct("p", "file", "ordinal")).alias("f"))
+        best = calls.join(known, "call").groupBy("call", "args").agg(F.min_by(F.struct(*functions.columns), "p").alias("f"))
         work = best.select("f.*", F.col("args").alias("seeds")).distinct()
         found = materialise(_pass(work, sources, names), f"taint-{depth}")
         if found.isEmpty():
@@ -101,6 +109,8 @@ def taint_paths(parsed: DataFrame, max_depth: int = 3, most: int = 100, sources:
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    first = Window.partitionBy("file", "line", "call").orderBy("depth", "seq")
-    paths = every.filter("kind = 'sink'").withColumn("r", F.row_number().over(first)).filter("r = 1")
-    return paths.orderBy("depth", "file", "seq").limit(most).select("source", "origin_line", "sink", "call", "file", "line", "depth", F.lit("high").alias("confidence"))
+    order = Window.partitionBy("file", "line", "call").orderBy("depth", "seq")
+    paths = every.filter("kind = 'sink'").withColumn("r", F.row_number().over(order)).filter("r = 1")
+    if most is not None:
+        paths = paths.orderBy("depth", "file", "seq").limit(most)
+    return paths.select("source", "origin_line", "sink", "call", "file", "line", "depth", F.lit("high").alias("confidence"))

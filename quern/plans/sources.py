@@ -12,7 +12,7 @@ from quern.operators import taint
 from quern.operators import validators as V
 from quern.registry import query, table
 from quern.sources import files as S
-from quern.sources import python_code, routes, syntax
+from quern.sources import braces, python_code, routes, syntax
 
 from .classifiers import sql_case, sql_text
 
@@ -253,6 +253,52 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F28_taint_flows", "SELECT 'src/f' || p_partkey || '.py' AS file, 5 AS line, 'eval' AS sink, 'critical' AS severity FROM part WHERE p_partkey % 2 = 0 AND contains('src/f' || p_partkey || '.py', '1') ORDER BY file LIMIT 20")
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = ["import sys\n\ndef go():\n    x = sys.argv[1]\n    eval(x)\n    compile(x)\n", "def go():\n    pass\n"]
-    found = taint.taint_paths(python_code.parse(_files(spark, sf_dir, code, ".py")), most=1_000_000)
+    found = taint.taint_paths(python_code.parse(_files(spark, sf_dir, code, ".py")), most=None)
     severity = C.first_of([(F.col("sink") == k, v) for k, v in T.PYTHON_SINKS.items()])
     return P.flows(found.withColumn("severity", severity), "critical", "1", "eval").select("file", "line", "sink", "severity")
+
+
+BRACED = [
+    "package a.b;\nimport java.util.List;\n\npublic class Runner extends Base {\n    @GetMapping(\"/run\")\n    public List<String> run(@RequestParam(\"c\") String cmd, int n) throws IOException {\n        String full = \"sh \" + cmd;\n        if (n > 0) { Runtime.getRuntime().exec(full); }\n        return helper(full);\n    }\n\n    private void helper(String x) {\n        new FileReader(x);\n    }\n\n    void go(String path) {\n        helper(path);\n    }\n}\n",
+    "public class Plain { /* void no() {} */ Plain() {} }\n",
+]
+SCRIPTS = [
+    "import { load as read } from './store';\nconst http = require('http');\nexport function show(id) {\n  const part = `x ${id}`;\n  el.innerHTML = part;\n  paint(part);\n}\nconst paint = (text) => {\n  document.write(text);\n}\nclass Page extends View {\n  draw(q) {\n    return q;\n  }\n}\n",
+    "const a = location;\n",
+]
+
+
+_DECLARED = [
+    (0, "import", "java.util.List", 2, ""), (0, "import", "java.util.List", 2, ""), (0, "class", "Runner", 4, "Base"), (0, "function", "Runner.run", 6, "cmd,n"), (0, "decorator", "Runner.run", 6, ""), (0, "function", "Runner.helper", 12, "x"), (0, "function", "Runner.go", 16, "path"),
+    (1, "class", "Plain", 1, ""), (1, "function", "Plain.<init>", 1, ""),
+]
+
+
+@query("S7_java_declarations", f"SELECT 'src/f' || p_partkey || '.java' AS file, kind, fullname, line, params FROM part JOIN {_values(_DECLARED, 'k, kind, fullname, line, params')} ON p_partkey % 2 = k")
+def java_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = braces.parse(_files(spark, sf_dir, BRACED, ".java")).filter("kind <> 'call'")
+    return rows.select("file", "kind", "fullname", "line", F.array_join("params", ",").alias("params"))
+
+
+_SCRIPTED = [(0, "import", "./store.load", 1, ""), (0, "import", "http", 2, ""), (0, "function", "show", 3, "id"), (0, "function", "paint", 8, "text"), (0, "class", "Page", 11, "View"), (0, "function", "Page.draw", 12, "q")]
+
+
+@query("S8_script_declarations", f"SELECT 'src/f' || p_partkey || '.ts' AS file, kind, fullname, line, params FROM part JOIN {_values(_SCRIPTED, 'k, kind, fullname, line, params')} ON p_partkey % 2 = k")
+def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = braces.parse(_files(spark, sf_dir, SCRIPTS, ".ts")).filter("kind <> 'call'")
+    return rows.select("file", "kind", "fullname", "line", F.array_join("params", ",").alias("params"))
+
+
+@query("T6_java_taint", "WITH f AS (SELECT 'src/f' || p_partkey || '.java' AS file FROM part WHERE p_partkey % 2 = 0) SELECT '@RequestParam' AS source, 'exec' AS sink, file, 8 AS line, 0 AS depth FROM f UNION ALL SELECT '@RequestParam', 'FileReader', min(file), 13, 1 FROM f")
+def java_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapped handler's parameter through a text to a command, and on to the first helper of that name."""
+    code = [BRACED[0].replace("return helper(full);", "helper(full);"), BRACED[1]]
+    found = taint.taint_paths(braces.parse(_files(spark, sf_dir, code, ".java")), most=None, sources=T.JAVA_SOURCES, sinks=T.JAVA_SINKS)
+    return found.select("source", "sink", "file", "line", "depth")
+
+
+@query("T7_script_taint", "SELECT 'param' AS source, sink, 'src/f' || p_partkey || '.js' AS file, line, 0 AS depth FROM part, (VALUES ('innerHTML', 5), ('document.write', 9)) v(sink, line) WHERE p_partkey % 2 = 0")
+def script_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function's parameters are sources, so the helper has a path of its own."""
+    found = taint.taint_paths(braces.parse(_files(spark, sf_dir, SCRIPTS, ".js")), most=None, sources=T.JS_SOURCES, sinks=T.JS_SINKS)
+    return found.select("source", "sink", "file", "line", "depth")
