@@ -81,7 +81,7 @@ def cached(messages: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
 def poll(tasks: DataFrame, kind: str, order: list, limits: DataFrame) -> DataFrame:
     """``tasks`` with starts: the first ones of each kind up to its free places; ``limits`` (kind, free)."""
     r = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return tasks.withColumn("__r", r).join(F.broadcast(limits), kind).withColumn("starts", F.col("__r") <= F.col("free")).drop("__r", "free")
+    return tasks.withColumn("__r", r).join(limits, kind).withColumn("starts", F.col("__r") <= F.col("free")).drop("__r", "free")
 
 
 def after_failure(failures: Column, most: Column, now: Column, base: Column) -> tuple[Column, Column]:

@@ -13,7 +13,12 @@ from quern.operators import selection as L
 from quern.registry import query, table
 
 
-@query("D1_greedy_dedup")
+@query(
+    "D1_greedy_dedup",
+    "WITH e AS (SELECT event_id, user_id, event_type, CAST(trunc(date_diff('minute', TIMESTAMP '2024-01-01', ts) / 60) AS BIGINT) AS line FROM events), "
+    "k AS (SELECT user_id, event_type, list_reduce(list_prepend(CAST([] AS BIGINT[]), list([line] ORDER BY event_id) FILTER (line > 0)), lambda a, x: CASE WHEN len(list_filter(a, lambda v: abs(v - x[1]) <= 3)) > 0 THEN a ELSE list_concat(a, x) END) AS lines FROM e GROUP BY 1, 2), "
+    "f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type, line) AS first FROM e) SELECT event_id, user_id, event_type, line, line <= 0 OR list_contains(lines, line) AND event_id = first AS kept FROM f JOIN k USING (user_id, event_type)",
+)
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings: events at a line (minute), by file (user) and type, in the order of their ids."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / 60).cast("long").alias("line"))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify as C
 from quern.functions import scalars as S
-from quern.operators import folds, graph, joins, ranking, taint
-from quern.sources import files, python_code, syntax
+from quern.operators import checks, folds, graph, joins, project, ranking, taint
+from quern.sources import braces, files, python_code, syntax
 
 
 def rows(df):
@@ -228,3 +228,47 @@ def test_index_takes_wanted_and_dangerous_files(spark):
     wanted = spark.createDataFrame([("./f.js",), ("./f.js",)], "path string")
     assert rows(files.build_index(df, wanted).select("path", "full").orderBy("path")) == [("a.py", False), ("b.py", True), ("f.js", True)]
     assert rows(files.build_index(df).select("full").distinct()) == [(True,)]
+
+
+def test_title_ratio_equals_the_matcher(spark):
+    import difflib
+
+    names = ["Red widget", "red Widget 2", "blue ring", "Blue rings", "", None, "zzz"]
+    pairs = [(a, b) for a in names for b in names]
+    got = folds.title_ratio(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()
+    wanted = [(a, b) for a, b in pairs if a and b and difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.7]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_brace_languages(spark):
+    java = "import a.b.C;\nclass K extends L {\n  // void no() {}\n  @PostMapping(\"/x\")\n  public void go(@RequestBody List<String> in) { String s = in.get(0); run(\"{\", s); }\n  K() {}\n}\n"
+    script = "const f = async ({a}, b = 1) => {\n  box.innerHTML = `<b>${b}</b>`\n}\n/* function no() {} */\nlet g = x => eval(x)\n"
+    data = [("K.java", java), ("f.js", script), ("n.java", None), ("x.py", "def f(): pass")]
+    got = braces.parse(spark.createDataFrame(data, "path string, source string")).collect()
+    names = {(r["file"], r["kind"], r["fullname"], tuple(r["params"])) for r in got if r["kind"] in ("function", "class")}
+    assert names == {("K.java", "class", "K", ("L",)), ("K.java", "function", "K.go", ("in",)), ("K.java", "function", "K.<init>", ()), ("f.js", "function", "f", ("a", "b")), ("f.js", "function", "g", ("x",))}
+    found = taint.taint_paths(braces.parse(spark.createDataFrame(data, "path string, source string")), sources=["@RequestBody"], sinks={"run": "high", "innerHTML": "high", "eval": "high"}).collect()
+    assert {(r["file"], r["sink"], r["line"]) for r in found} == {("K.java", "run", 5), ("f.js", "innerHTML", 2), ("f.js", "eval", 5)}
+
+
+def test_project_facts(spark):
+    data = [("p", "p/a/main.go", ""), ("p", "p/b.go", ""), ("p", "p/c.py", "from flask import x"), ("q", "q/tests/app.py", "urlpatterns = 1"), ("q", "q/.hid/z", None), ("q", "q/Z.txt", None), ("q", "q/a.txt", None), ("r", None, None)]
+    df = spark.createDataFrame(data, "project string, path string, source string")
+    assert rows(project.main_language(df)) == [("p", "go"), ("q", "python")]
+    assert rows(project.project_type(df, [r"(?i)from flask import", r"(?i)urlpatterns\s*="])) == [("p", "app"), ("q", "lib"), ("r", "lib")]
+    tags = spark.createDataFrame([("p/b.go", "main", "def", "")], "file string, name string, kind string, signal string")
+    assert rows(project.entry_points(df.filter("path is not null"), tags)) == [("p", "p/a/main.go"), ("p", "p/b.go"), ("q", "q/tests/app.py")]
+    assert [tuple(r) for r in project.listing(df, "q").collect()] == [("tests", True), ("a.txt", False), ("Z.txt", False)]
+
+
+def test_checkpoints(spark, tmp_path):
+    state = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    files.write_checkpoint(state, str(tmp_path / "c"))
+    assert rows(files.read_checkpoint(spark, str(tmp_path / "c"), "k long, v string").filter("k = 1")) == [(1, "a")]
+    assert files.read_checkpoint(spark, str(tmp_path / "none"), "k long, v string").count() == 0
+
+
+def test_cards_by_suffix_and_function(spark):
+    candidates = spark.createDataFrame([(1, "src/a/b.py", "f"), (2, "xa/b.py", "g"), (3, None, None)], "id int, file string, fn string")
+    cards = spark.createDataFrame([(10, "a/b.py", ["z"]), (11, "b.py", ["g"]), (12, "none.py", ["f", "f"])], "card int, file string, functions array<string>")
+    assert rows(checks.candidate_cards(candidates, cards, "id", "file", "fn")) == [(1, 10), (1, 11), (1, 12), (2, 11)]
