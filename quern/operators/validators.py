@@ -25,6 +25,35 @@ VALIDATION_FUNCTIONS = [
     "isinstance", "issubclass", "hasattr", "getattr", "validate", "validator", "validate_input", "validate_request", "sanitize", "sanitize_input", "clean", "clean_input", "escape", "shlex.quote", "shlex.escape", "html.escape", "re.escape",
     "django.utils.html.escape", "flask.escape", "markupsafe.escape", "bleach.clean", "bleach.linkify", "pydantic.BaseModel", "pydantic.validate_call", "marshmallow.Schema", "cerberus.Validator", "schema.Schema",
 ]
+#: The same of Java code, with marks in the text.
+JAVA_TEST_PATTERNS = ["*/src/test/java/**/*.java", "*/src/test/*.java", "*Test.java", "*Tests.java", "*TestCase.java", "*/test/**/*.java"]
+JAVA_COMPILER_PATTERNS = ["pom.xml", "build.gradle", "build.gradle.kts", "*/pom.xml", "*/build.gradle", "settings.gradle", "settings.gradle.kts"]
+JAVA_STARTUP_PATTERNS = ["*Application.java", "*Main.java", "*/src/main/java/**/ServletInitializer.java"]
+JAVA_TEST_MARKS = ["@Test", "@org.junit.jupiter.api.Test", "import org.junit", "import org.testng", "import org.mockito", "@ParameterizedTest", "@ExtendWith", "@SpringBootTest", "@WebMvcTest", "@DataJpaTest", "extends TestCase"]
+JAVA_COMPILER_MARKS = ["@Mojo", "@Parameter(defaultValue", "abstract class AbstractMojo", "implements Plugin", "extends DefaultMojo"]
+JAVA_STARTUP_MARKS = [
+    "SpringApplication.run", "SpringApplicationBuilder", "public static void main(String[]", "implements CommandLineRunner", "implements ApplicationRunner", "@PostConstruct", "InitializingBean", "ApplicationListener",
+    "implements ServletContainerInitializer", "WebApplicationInitializer",
+]
+JAVA_INPUT_APIS = [
+    "HttpServletRequest", "ServletRequest", "request.getParameter", "request.getQueryString", "request.getHeader", "request.getCookies", "request.getInputStream", "request.getReader", "request.getPart", "request.getParts", "getServletContext",
+    "@RequestParam", "@PathVariable", "@RequestBody", "@RequestHeader", "@CookieValue", "@RequestAttribute", "@ModelAttribute", "@RequestPart", "@MatrixVariable", "ServerHttpRequest", "ServerWebExchange",
+    "@QueryParam", "@PathParam", "@HeaderParam", "@CookieParam", "@FormParam", "@MatrixParam", "@Context",
+    "System.getenv", "System.getProperty", "System.console", "Scanner(System.in", "BufferedReader(System.in", "Console.readLine", "java.util.Scanner", "MultipartFile", "Part",
+]
+JAVA_ENTRY_POINTS = [
+    "@RequestMapping", "@GetMapping", "@PostMapping", "@PutMapping", "@DeleteMapping", "@PatchMapping", "@RestController", "@Controller", "@GET", "@POST", "@PUT", "@DELETE", "@PATCH", "@Path", "@ApplicationPath", "@Provider",
+    "@WebServlet", "@WebFilter", "@WebListener", "extends HttpServlet", "implements Filter", "implements Servlet", "@ServerEndpoint", "implements WebSocketHandler",
+    "@JmsListener", "@RabbitListener", "@KafkaListener", "@StreamListener", "@EventListener", "implements MessageHandler", "implements ChannelInterceptor", "implements GatewayFilter", "implements GlobalFilter", "@Scheduled",
+]
+JAVA_VALIDATION_FUNCTIONS = [
+    "@Valid", "@Validated", "javax.validation", "jakarta.validation", "@NotNull", "@NotEmpty", "@NotBlank", "@Size", "@Min", "@Max", "@Email", "@Pattern", "@AssertTrue",
+    "org.springframework.validation", "Errors", "BindingResult", "Validator", "validate", "validateObject", "ValidationUtils", "org.springframework.validation.Validator",
+    "org.owasp.esapi", "ESAPI.validator", "Validator.getValidInput", "Validator.isValidInput", "Validator.getValidSafeHTML", "Encoder.encodeForHTML", "Encoder.encodeForJavaScript", "Encoder.encodeForSQL", "Encoder.encodeForLDAP", "Encoder.encodeForOS", "Encoder.encodeForCSS", "Encoder.encodeForXML", "Encoder.encodeForXPath",
+    "StringEscapeUtils", "org.apache.commons.lang3.StringEscapeUtils", "org.apache.commons.text.StringEscapeUtils", "org.apache.commons.validator", "GenericValidator", "UrlValidator", "EmailValidator",
+    "com.google.common.html.HtmlEscapers", "com.google.common.net.UrlEscapers", "Preconditions.checkNotNull", "Preconditions.checkArgument", "org.hibernate.validator", "ConstraintValidator", "constraints",
+    "@PreAuthorize", "@PostAuthorize", "@Secured", "SecurityContextHolder", "sanitize", "sanitizeInput", "cleanInput", "escapeHtml", "escapeSql", "filterInput", "stripXSS", "purify",
+]
 UNAUTHENTICATED = ["unauthenticated", "no auth", "public endpoint", "anonymous", "guest"]
 PRECONDITIONS = ["authenticated", "authentication required", "logged in", "admin", "administrator", "authorization", "csrf token", "xsrf token", "rate limited", "rate_limit", "user interaction", "user clicks"]
 RULE_CONTEXTS = {
@@ -90,14 +119,25 @@ def _any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
 
 
+def java_code_kinds(files: DataFrame) -> DataFrame:
+    """(path, is_test, is_compiler, is_startup, is_production) of Java files (path, source), by path and by marks in the text; native."""
+    path, text = F.col("path"), F.coalesce("source", F.lit(""))
+    test = path_matches(path, JAVA_TEST_PATTERNS) | _any(text, JAVA_TEST_MARKS)
+    build = path_matches(path, JAVA_COMPILER_PATTERNS) | _any(text, JAVA_COMPILER_MARKS)
+    startup = path_matches(path, JAVA_STARTUP_PATTERNS) | _any(text, JAVA_STARTUP_MARKS)
+    return files.select("path", test.alias("is_test"), build.alias("is_compiler"), startup.alias("is_startup"), (~test & ~build).alias("is_production"))
+
+
 def verdicts(findings: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each finding and validator: the columns of ``findings`` with validator, priority (P0 or P1) and passed.
 
     ``findings``: id, file_path, line_number, rule_id, source_rule_name, source_info, detail, description, taint_source, taint_sink,
     chain (number of calls); ``files``: path (one row each), source. Nulls count as empty. A file that isn't there fails the execution
-    context as P0; startup code fails it as P1. Everything is native but the reading of the code in ``code_kinds``.
+    context as P0; startup code fails it as P1. Vocabularies are those of Java for files that end in .java, else of Python. Everything is native
+    but the reading of Python code in ``code_kinds``.
     """
-    kinds = code_kinds(files).join(files.select("path", "source"), "path")
+    is_java = F.coalesce(F.col("path").endswith(".java"), F.lit(False))
+    kinds = code_kinds(files.filter(~is_java)).unionByName(java_code_kinds(files.filter(is_java))).join(files.select("path", "source"), "path")
     held = findings.join(kinds.withColumnRenamed("path", "file_path"), "file_path", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     source, there = text("source"), F.col("is_test").isNotNull()
@@ -107,15 +147,21 @@ def verdicts(findings: DataFrame, files: DataFrame) -> DataFrame:
     spoken = F.concat_ws(" ", text("description"), text("detail"))
     low = F.lower(spoken)
 
+    java = F.coalesce(F.col("file_path").endswith(".java"), F.lit(False))
+    told = lambda text, python, other: F.when(java, _any(text, other)).otherwise(_any(text, python))
+    inputs = lambda text: told(text, INPUT_APIS, JAVA_INPUT_APIS)
+    entries = lambda text: told(text, ENTRY_POINTS, JAVA_ENTRY_POINTS)
+    checks = lambda text: told(text, VALIDATION_FUNCTIONS, JAVA_VALIDATION_FUNCTIONS)
+
     context = there & ~F.col("is_test") & ~F.col("is_compiler")
     startup = context & F.col("is_startup")
-    boundary = _any(name, INPUT_APIS) | _any(info, INPUT_APIS) | _any(detail, INPUT_APIS) | _any(info, ENTRY_POINTS) | _any(detail, ENTRY_POINTS) | _any(source, ENTRY_POINTS) | tainted
-    outside = (tainted & sunk) | _any(spoken, ENTRY_POINTS) | _any(source, ENTRY_POINTS) | (F.coalesce("chain", F.lit(0)) > 0)
+    boundary = inputs(name) | inputs(info) | inputs(detail) | entries(info) | entries(detail) | entries(source) | tainted
+    outside = (tainted & sunk) | entries(spoken) | entries(source) | (F.coalesce("chain", F.lit(0)) > 0)
     line = F.coalesce(F.col("line_number"), F.lit(0))
     lines = F.split(source, "\n")
     first = F.greatest(line - 20, F.lit(0))
     near = F.when((line > 0) & (F.size(lines) > first), F.array_join(F.slice(lines, (first + 1).cast("int"), (line + 5 - first).cast("int")), "\n")).otherwise("")
-    checked = _any(near, VALIDATION_FUNCTIONS) | _any(F.concat(text("description"), text("detail")), VALIDATION_FUNCTIONS)
+    checked = checks(near) | checks(F.concat(text("description"), text("detail")))
     open_ = _any(low, UNAUTHENTICATED) | ~_any(low, PRECONDITIONS)
     kind = F.lower(rule)
     for part in ("taint-to-", "python-", "reflective-"):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify as C
 from quern.functions import scalars as S
-from quern.operators import checks, folds, graph, joins, project, ranking, taint
+from quern.operators import checks, folds, graph, joins, project, ranking, taint, validators
 from quern.sources import braces, files, python_code, syntax
 
 
@@ -272,3 +272,19 @@ def test_cards_by_suffix_and_function(spark):
     candidates = spark.createDataFrame([(1, "src/a/b.py", "f"), (2, "xa/b.py", "g"), (3, None, None)], "id int, file string, fn string")
     cards = spark.createDataFrame([(10, "a/b.py", ["z"]), (11, "b.py", ["g"]), (12, "none.py", ["f", "f"])], "card int, file string, functions array<string>")
     assert rows(checks.candidate_cards(candidates, cards, "id", "file", "fn")) == [(1, 10), (1, 11), (1, 12), (2, 11)]
+
+
+def test_validators_of_java_and_odd_findings(spark):
+    java = "@RestController\nclass A {\n  void f(@RequestParam String x) {\n    validate(x);\n    run(x);\n  }\n}\n"
+    code = spark.createDataFrame([("src/A.java", java), ("src/ATest.java", "class ATest {}"), ("App.java", "public static void main(String[] a)"), ("m.py", None)], "path string, source string")
+    names = "id int, file_path string, line_number int, rule_id string, source_rule_name string, source_info string, detail string, description string, taint_source string, taint_sink string, chain int"
+    data = [(i, path, 5, None, None, None, None, None, None, None, None) for i, path in enumerate(["src/A.java", "src/ATest.java", "App.java", "m.py", "gone.py", None])]
+    found = validators.verdicts(spark.createDataFrame(data, names), code)
+    got = {(r["id"], r["validator"]): (r["priority"], r["passed"]) for r in found.collect()}
+    assert len(got) == 36
+    assert [got[i, "execution_context"] for i in range(6)] == [("P0", True), ("P0", False), ("P1", False), ("P0", True), ("P0", False), ("P0", False)]
+    assert [got[i, "trust_boundary"][1] for i in range(6)] == [True, False, False, False, False, False]
+    assert [got[i, "validation_chain"][1] for i in range(6)] == [True, False, False, False, False, False]
+    scores = {r["id"]: (r["is_controlled"], r["score"]) for r in validators.exploitability(found, ["id"]).collect()}
+    assert scores[0] == (True, 1.0) and scores[4] == (False, 0.27)
+    assert validators.verdicts(spark.createDataFrame([], names), code).count() == 0
