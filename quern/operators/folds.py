@@ -40,16 +40,42 @@ def near_existing(new: DataFrame, old: DataFrame, keys: list[str], line: str, wi
 
 
 def title_ratio(df: DataFrame, a: str, b: str, least: float = 0.70) -> DataFrame:
-    """Rows of pairs whose titles are alike by the sequence matcher's ratio, which has no built-in counterpart."""
+    """Rows of pairs whose titles are alike by the sequence matcher's ratio, which has no built-in counterpart. Its two quick upper bounds are asked first."""
+
+    def alike(x: str, y: str) -> bool:
+        if not x or not y:
+            return least <= 0
+        m = difflib.SequenceMatcher(None, x.lower(), y.lower())
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ratio = [difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if x and y else 0.0 for x, y in zip(f[a], f[b], strict=True)]
-            yield f[pd.Series(ratio, index=f.index) >= least]
+            yield f[pd.Series([alike(x, y) for x, y in zip(f[a], f[b], strict=True)], index=f.index, dtype=bool)]
 
     return df.mapInPandas(run, df.schema)
 
 
+def title_pairs(df: DataFrame, title: str, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(held, compared): the pairs (x, y) of different rows' titles in a group of equal ``same``, with the group and without it.
+
+    Null and empty titles are like none. Titles are made distinct first, so copies of a title add no pair. The ratio isn't symmetric: both orders are there.
+    """
+    titles = df.filter(F.col(title) != "").groupBy(*same, title).agg(F.count(F.lit(1)).alias("__n"))
+    x = titles.select(*same, F.col(title).alias("x"), F.col("__n").alias("__many"))
+    y = titles.select(*same, F.col(title).alias("y"))
+    held = x.join(y, same).filter((F.col("x") != F.col("y")) | (F.col("__many") > 1)).drop("__many")
+    return held, held.select("x", "y").distinct()
+
+
+def similar_titles(df: DataFrame, key: str, title: str, same: list[str], least: float = 0.70) -> DataFrame:
+    """(a, b): keys of rows of equal ``same``, a before b, whose titles are alike. Each pair of titles is compared once, whatever rows have it."""
+    held, compared = title_pairs(df, title, same)
+    alike = held.join(title_ratio(compared, "x", "y", least), ["x", "y"])
+    a = df.select(*same, F.col(title).alias("x"), F.col(key).alias("a"))
+    b = df.select(*same, F.col(title).alias("y"), F.col(key).alias("b"))
+    return a.join(alike, [*same, "x"]).join(b, [*same, "y"]).filter("a < b").select("a", "b")
+
+
 def ema(values: Column, alpha: float = 0.3, start: float = 500.0) -> Column:
     """Exponential moving average over an array in its order."""
     return F.aggregate(values, F.lit(start), lambda avg, x: alpha * x + (1 - alpha) * avg)

@@ -34,11 +34,7 @@ def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("D1_title_ratio")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of part names of one brand, type and size with similar titles."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("p_brand", "p_type", "p_size")]
-    pairs = a.join(b, same + [F.col("a.p_partkey") < F.col("b.p_partkey")]).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("a.p_name").alias("x"), F.col("b.p_name").alias("y"))
-    return O.title_ratio(pairs, "x", "y").select("a", "b")
+    return O.similar_titles(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_type", "p_size"])
 
 
 @query("D4_knowledge_merge", "SELECT user_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS entry FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
