@@ -65,17 +65,33 @@ def callers_of_name(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     return df.join(sizes, names).select(key, "callers")
 
 
-def candidate_cards(candidates: DataFrame, cards: DataFrame, key: str, file: str, function: str) -> DataFrame:
+def _matches(candidates: DataFrame, cards: DataFrame, keys: list[str], file: str, function: str) -> DataFrame:
+    names = F.split(file, "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "/"))
+    by_file = candidates.select(*keys, F.explode(suffixes).alias("__at")).join(cards.select("card", F.col("file").alias("__at")), "__at").select(*keys, "card")
+    by_name = candidates.select(*keys, F.col(function).alias("__fn")).join(cards.select("card", F.explode("functions").alias("__fn")), "__fn").select(*keys, "card")
+    return by_file.union(by_name).distinct()
+
+
+def candidate_cards(candidates: DataFrame, cards: DataFrame, key: str, file: str, function: str, buckets: int = 64) -> DataFrame:
     """(key, card) for each candidate whose file is the card's or ends in it at a folder, or whose function is among the card's.
 
     ``cards``: card, file, functions (array). Both ways are equi-joins: of the function's name, and of each suffix of the
     candidate's path that begins after a separator.
+
+    Cards are found and made distinct for each pair of file and function, kept as arrays of a bucket's cards, and laid out
+    for the candidates of the pair last, so the result itself isn't shuffled. Keys with several pairs go the plain way.
     """
-    names = F.split(file, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "/"))
-    by_file = candidates.select(key, F.explode(suffixes).alias("__at")).join(cards.select("card", F.col("file").alias("__at")), "__at").select(key, "card")
-    by_name = candidates.select(key, F.col(function).alias("__fn")).join(cards.select("card", F.explode("functions").alias("__fn")), "__fn").select(key, "card")
-    return by_file.union(by_name).distinct()
+    pair = F.struct(F.col(file).alias("f"), F.col(function).alias("n"))
+    pairs = candidates.groupBy(F.col(key).alias("__key")).agg(F.min(pair).alias("__pair"), F.max(pair).alias("__last"))
+    one = F.col("__pair").eqNullSafe(F.col("__last"))
+    single = pairs.filter(one).select("__key", "__pair")
+    found = _matches(single.select("__pair", "__pair.f", "__pair.n").distinct(), cards, ["__pair"], "f", "n")
+    found = found.groupBy(F.col("__pair").alias("__of"), F.pmod(F.hash("card"), F.lit(buckets))).agg(F.collect_list("card").alias("__cards"))
+    same = [F.col(f"__pair.{c}").eqNullSafe(F.col(f"__of.{c}")) for c in "fn"]
+    laid = single.join(found, same).select(F.col("__key").alias(key), F.explode("__cards").alias("card"))
+    several = candidates.join(pairs.filter(~one).select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    return laid.union(_matches(several, cards, [key], file, function))
 
 
 def injected(df: DataFrame, known: DataFrame, key: str) -> DataFrame:

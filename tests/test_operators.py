@@ -300,3 +300,17 @@ def test_similar_titles_compare_distinct_titles_once(spark):
     wanted = sorted((a, b) for a, x, g in rows for b, y, h in rows if a < b and g and g == h and ratio(x, y) >= 0.70)
     assert sorted(map(tuple, folds.similar_titles(df, "k", "t", ["g"]).collect())) == wanted
     assert folds.title_pairs(df, "t", ["g"])[1].count() <= 49 < len(wanted)
+
+
+def test_candidate_cards_of_repeated_and_null_candidates(spark):
+    cards = [(1, "a/f.py", ["x"]), (2, "f.py", ["y", "x"]), (3, None, ["z"]), (4, "q.py", None), (1, "f.py", ["z"])]
+    # Keys 5 and null have several pairs; 6 is a row given twice.
+    candidates = [(5, "s/a/f.py", "x"), (5, "q.py", "z"), (6, "f.py", "x"), (6, "f.py", "x"), (7, None, "z"), (8, "s/q.py", None), (None, "f.py", None), (None, None, "z"), (9, "af.py", "w")]
+    df = spark.createDataFrame(candidates, "k int, f string, fn string")
+    found = checks.candidate_cards(df, spark.createDataFrame(cards, "card int, file string, functions array<string>"), "k", "f", "fn")
+    wanted = {(k, c) for k, f, fn in candidates for c, at, names in cards if f and at and ("/" + f).endswith("/" + at) or fn and names and fn in names}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    # Nothing that has as many rows as the result is shuffled: cards are arrays until the last step.
+    many = spark.range(1000).selectExpr("cast(id as int) k", "'d/f.py' f", "'x' fn")
+    plan = checks.candidate_cards(many, spark.createDataFrame(cards, "card int, file string, functions array<string>"), "k", "f", "fn")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(__cards" in plan
