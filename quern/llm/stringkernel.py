@@ -28,6 +28,8 @@ from .common import besides, documents, materialise
 SLOTS = 1 << 15
 PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS = 240, 48, 64
 PARTS = 16
+#: Rows of the presence matrix that the driver unpacks at once: 8 MB of float32.
+BLOCK = 64
 RIDGE = 1.0
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -76,18 +78,41 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int, ridge: float = RIDGE
 
     ``bits``: presence matrix of the training texts; each language's first ``landmarks`` rows are landmarks.
     """
+    return fit_packed(np.packbits(bits.astype(bool), axis=1), bits.shape[1], langs, landmarks, ridge)
+
+
+def fit_packed(packed: np.ndarray, slots: int, langs: list[str], landmarks: int, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """``fit`` on bitmaps of ``slots`` bits a row. ``BLOCK`` rows are unpacked at once, so the driver never holds a presence matrix."""
     names = sorted(set(langs))
-    unit = bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
     marks = np.concatenate([[i for i, x in enumerate(langs) if x == name][:landmarks] for name in names]).astype(int)
-    few = unit[marks]
-    values, vectors = np.linalg.eigh((few @ few.T).astype(np.float64))
+    target = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
+    blocks = lambda n: [slice(at, at + BLOCK) for at in range(0, n, BLOCK)]
+    unpack = lambda rows: np.unpackbits(rows, axis=1, count=slots).astype(np.float32)
+    few = packed[marks]
+    norms = np.sqrt(np.maximum(np.bitwise_count(few).sum(1, dtype=np.int64), 1))
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        """Of these rows with all landmarks; the slots that two have in common are counted exactly."""
+        size, rows = np.bitwise_count(rows).sum(1, dtype=np.int64), unpack(rows)
+        common = np.concatenate([rows @ unpack(few[at]).T for at in blocks(len(few))], 1)
+        return common / np.sqrt(np.maximum(size, 1))[:, None] / norms
+
+    values, vectors = np.linalg.eigh(np.concatenate([kernel(few[at]) for at in blocks(len(few))]))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (unit @ few.T).astype(np.float64) @ root
-    features = np.concatenate([features, np.ones((len(features), 1))], 1)
-    target = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
-    dual = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
-    return names, np.concatenate([few.T.astype(np.float64) @ (root @ dual[:-1]), dual[-1:]]).astype(np.float32)
+    gram, right = ridge * np.eye(root.shape[1] + 1), np.zeros((root.shape[1] + 1, len(names)))
+    for at in blocks(len(packed)):
+        features = kernel(packed[at]) @ root
+        features = np.concatenate([features, np.ones((len(features), 1))], 1)
+        gram += features.T @ features
+        right += features.T @ target[at]
+    dual = np.linalg.solve(gram, right)
+    by_mark = root @ dual[:-1] / norms[:, None]
+    weights = np.zeros((slots + 1, len(names)))
+    weights[-1] = dual[-1]
+    for at in blocks(len(few)):
+        weights[:-1] += unpack(few[at]).T @ by_mark[at]
+    return names, weights.astype(np.float32)
 
 
 def _sample(labelled: DataFrame, per_lang: int) -> DataFrame:
@@ -121,8 +146,8 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMA
     rows = sorted(_sample(labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")), per_lang).collect(), key=lambda r: (r["lang"], r["h"]))
     if not rows:
         return [], np.zeros((SLOTS + 1, 0), np.float32)
-    bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    return fit(bits, [r["lang"] for r in rows], landmarks)
+    packed = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1)
+    return fit_packed(packed, SLOTS, [r["lang"] for r in rows], landmarks)
 
 
 def predict(names: list[str], weights: np.ndarray, texts: list[str | None], batch: int = 64) -> tuple[list[str], list[float]]:

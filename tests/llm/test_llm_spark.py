@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows, clashing columns and no rows."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -416,3 +417,15 @@ def test_sample_of_a_language_is_that_of_the_smallest_hashes(spark):
     got = {(r["lang"], r["h"]) for r in stringkernel._sample(df, 20).collect()}
     hashes = df.selectExpr("lang", "xxhash64(text) AS h").distinct().collect()
     assert got == {(lang, h) for lang in ("en", "de") for h in sorted(r["h"] for r in hashes if r["lang"] == lang)[:20]}
+
+
+def test_training_never_holds_the_presence_matrix(spark):
+    texts = [(f"{a}{b}{c} {a * 2}{c} {b}{a}{lang}", lang) for lang in ("de", "en", "fr", "pl") for a in "abcdefg" for b in "hijklm" for c in "nopqrs"]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    tracemalloc.start()
+    names, weights = train(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["de", "en", "fr", "pl"] and weights.shape == (stringkernel.SLOTS + 1, 4)
+    # 960 texts are sampled: 126 MB as float32, held twice before.
+    assert peak < 100 << 20
